@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from strandwork.session import ship_package, small_arrow_batches
 
-from .kernels import text_buffers
+from .kernels import release, text_buffers
 
-BATCH_BYTES = 8 << 20
-RANGE_KEYS = 1 << 21
+BATCH_BYTES = 4 << 20
+RANGE_KEYS = 1 << 20
 ANSWERS = "batch int, range int, at binary, n binary"
 
 
@@ -65,6 +65,7 @@ def repeated_keys(docs: DataFrame, keys_of: Callable[[list], list[np.ndarray]],
     bits = max(0, int(np.ceil(np.log2(max(1, expected / RANGE_KEYS)))))
 
     def send(key, table):
+        release()
         table = one_of_each(table)
         found = keys_of(text_buffers(table.column("text")))
         keys, n = np.unique(np.concatenate(found), return_counts=True)
@@ -78,6 +79,7 @@ def repeated_keys(docs: DataFrame, keys_of: Callable[[list], list[np.ndarray]],
         })
 
     def count(key, table):
+        release()
         lows = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("low")]
         ns = [np.frombuffer(x.as_py(), np.uint8) for x in table.column("n")]
         _, inverse = np.unique(np.concatenate(lows), return_inverse=True)

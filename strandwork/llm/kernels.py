@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: nothing to trim
+    _LIBC = None
+
+
+def release() -> None:
+    """Give freed memory back to the system, so that a worker's size follows its present group."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None and hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 BASE = U64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 BASE_INV = U64(pow(int(BASE), -1, 1 << 64))
 

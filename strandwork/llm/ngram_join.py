@@ -24,7 +24,7 @@ from strandwork.session import materialize
 
 from .blocks import batched, counts_of, one_of_each, repeated_keys
 from .components import components
-from .kernels import mix, shingle_sets, text_buffers
+from .kernels import mix, release, shingle_sets, text_buffers
 
 SETS = "doc_id long, n long, set1 array<long>, all array<long>, set3 array<long>"
 
@@ -38,6 +38,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int, total: int) -> DataFrame:
     answers, bits = repeated_keys(docs, lambda t: shingle_sets(t, n), total // 6)
 
     def prefix(key, table, back):
+        release()
         table = one_of_each(table)
         sets = shingle_sets(text_buffers(table.column("text")), n)
         df, _ = counts_of(np.concatenate(sets) if sets else np.zeros(0, np.uint64), back, bits)

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from .blocks import batched, counts_of, one_of_each, repeated_keys
-from .kernels import U64, chunks, mix, prefix_hash, slice_hash, text_buffers
+from .kernels import U64, chunks, mix, prefix_hash, release, slice_hash, text_buffers
 
 GRAM = 32
-CELL_ROWS = 1 << 14
+CELL_ROWS = 1 << 13
 OCCURRENCES = "cell int, anchor long, rel int, doc_id long, lo int, batch int, bytes binary"
 SPANS = "doc_id long, batch int, starts array<int>, ends array<int>"
 
@@ -180,6 +180,7 @@ def repeated_spans(part: DataFrame, total: int, length: int = 100) -> DataFrame:
     cells = max(1, total // (40 * CELL_ROWS))
 
     def occurrences(key, table, back):
+        release()
         table = one_of_each(table)
         ids, texts = table.column("doc_id").to_numpy(), text_buffers(table.column("text"))
         found = anchors(texts, length)
@@ -211,6 +212,7 @@ def repeated_spans(part: DataFrame, total: int, length: int = 100) -> DataFrame:
         })
 
     def spans(key, table):
+        release()
         rel = table.column("rel").to_numpy()
         ids, batch, lo = (table.column(c).to_numpy() for c in ("doc_id", "batch", "lo"))
         whole = np.flatnonzero(rel < 0)
@@ -298,6 +300,7 @@ def repeat_report(docs: DataFrame, length: int = 100) -> DataFrame:
     part, _, total = batched(docs)
 
     def report(key, table, spans):
+        release()
         table = one_of_each(table)
         cut, none = _by_document(spans), (np.zeros(0, np.int64),) * 2
         ids, texts = table.column("doc_id").to_pylist(), text_buffers(table.column("text"))
@@ -327,6 +330,7 @@ def drop_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], docs.schema["text"], *[T.StructField(inner[c], docs.schema[c].dataType) for c in others]])
 
     def cut_out(key, table, spans):
+        release()
         cut = _by_document(spans)
         texts = text_buffers(table.column("text"))
         new = table.column("text").to_pylist()

@@ -202,13 +202,23 @@ def repeated_spans(part: DataFrame, total: int, length: int = 100) -> DataFrame:
         cell = (mix(keys, 3) % U64(cells)).astype(np.int32)
         stretch = [bytes(texts[d][a : b + length]) for d, a, b in zip(doc[keep].tolist(), first[keep].tolist(), last[keep].tolist())]
         batch = key[0].as_py()
-        # stretches that equal an older one of the batch: no bytes are needed, rel = -1 and anchor holds the end
-        all_ = [*keep, *covered]
+        # stretches that equal an older one of the batch need no bytes: as spans of their document (rel = -1, anchor
+        # holds the end), dealt by document, so that a very common passage doesn't meet in one cell
+        gone: tuple[list, list, list] = ([], [], [])
+        for d in np.unique(doc[covered]).tolist() if covered else []:
+            a, b = np.searchsorted(doc[covered], [d, d + 1])
+            mine = np.array(covered[a:b])
+            start, end = merged(first[mine], last[mine] + length)
+            gone[0].extend([d] * len(start))
+            gone[1].extend(start.tolist())
+            gone[2].extend(end.tolist())
+        own = (mix(ids[gone[0]].astype(np.int64).view(U64), 4) % U64(cells)).astype(np.int32) if gone[0] else np.zeros(0, np.int32)
+        n = len(gone[0])
         return pa.table({
-            "cell": pa.array(cell[all_]), "anchor": pa.array(np.concatenate([keys[keep].view(np.int64), last[covered] + length])),
-            "rel": pa.array(np.concatenate([(place - first)[keep], np.full(len(covered), -1)]).astype(np.int32)),
-            "doc_id": pa.array(ids[doc[all_]], pa.int64()), "lo": pa.array(first[all_].astype(np.int32)),
-            "batch": pa.array(np.full(len(all_), batch, np.int32)), "bytes": pa.array([*stretch, *[None] * len(covered)], pa.binary()),
+            "cell": pa.array(np.concatenate([cell[keep], own])), "anchor": pa.array(np.concatenate([keys[keep].view(np.int64), np.array(gone[2], np.int64)])),
+            "rel": pa.array(np.concatenate([(place - first)[keep], np.full(n, -1)]).astype(np.int32)),
+            "doc_id": pa.array(np.concatenate([ids[doc[keep]], ids[gone[0]]]) if n else ids[doc[keep]], pa.int64()), "lo": pa.array(np.concatenate([first[keep], np.array(gone[1], np.int64)]).astype(np.int32)),
+            "batch": pa.array(np.full(len(keep) + n, batch, np.int32)), "bytes": pa.array([*stretch, *[None] * n], pa.binary()),
         })
 
     def spans(key, table):

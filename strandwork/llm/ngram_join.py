@@ -5,17 +5,17 @@ elements. Three orders are used: rarest first (counts over the whole corpus, tie
 seeded hash orders. The rare-first order generates candidates, the other two must agree (the filters
 are intersected), and what is left is verified on the whole sets.
 
-Candidates aren't emitted as all pairs of a prefix element's documents. In each round every element
-with documents of different components names one leader (its smallest document that hasn't led it
-yet), and its other documents are compared with the leader alone, so a round's pairs are at most the
-prefix entries. Verified links are contracted to components; elements whose documents are already in
-one component need nothing more. Where few pairs across components are left, they are all compared at
-once. The rounds end when no element has two components with an uncompared pair, so no link between
-components is lost.
+Candidates aren't emitted as pairs of rows. Documents with the same set are first replaced by the smallest. Those
+that share rare-first prefix elements, directly or through others, form a block; only within a block can there be
+links. A block that is too large for one task is dealt to tiles and each pair of tiles is compared in a task of its own,
+so every two documents of a block meet exactly once. A task compares a document with the candidates
+that aren't yet in its component and answers with at most one link for each document, which is enough for the components.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -24,9 +24,10 @@ from strandwork.session import materialize
 
 from .blocks import batched, counts_of, one_of_each, repeated_keys
 from .components import components
-from .kernels import mix, release, shingle_sets, text_buffers
+from .kernels import mix, release, shingle_sets, spread, text_buffers
 
-SETS = "doc_id long, n long, set1 array<long>, all array<long>, set3 array<long>"
+SETS = "doc_id long, n long, same binary, set1 array<long>, all array<long>, set3 array<long>"
+TILE_ELEMENTS = 1 << 19  # of sets that one side of a task holds, about
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -42,7 +43,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int, total: int) -> DataFrame:
         table = one_of_each(table)
         sets = shingle_sets(text_buffers(table.column("text")), n)
         df, _ = counts_of(np.concatenate(sets) if sets else np.zeros(0, np.uint64), back, bits)
-        cols: dict[str, list] = {"set1": [], "all": [], "set3": []}
+        cols: dict[str, list] = {"same": [], "set1": [], "all": [], "set3": []}
         at = 0
         for s in sets:
             c = df[at : at + len(s)]
@@ -52,68 +53,130 @@ def _prefixes(docs: DataFrame, n: int, percent: int, total: int) -> DataFrame:
                 for v in cols.values():
                     v.append(None)
                 continue
+            cols["same"].append(hashlib.md5(s.tobytes()).digest())
             rare = np.lexsort((s, c))[:p]
             rare = rare[c[rare] > 1]
             two, three = mix(s, 2), mix(s, 3)
             cols["set1"].append(s[rare].view(np.int64))
             cols["all"].append(s[np.argsort(two, kind="stable")].view(np.int64))
             cols["set3"].append(s[np.argpartition(three, p - 1)[:p]].view(np.int64))
-        lists = {k: pa.array(v, pa.list_(pa.int64())) for k, v in cols.items()}
+        lists = {k: pa.array(v, pa.binary() if k == "same" else pa.list_(pa.int64())) for k, v in cols.items()}
         return pa.table({"doc_id": table.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), **lists})
 
     # without any answer a batch still has its documents: a cogroup keeps groups of either side
     return docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(prefix, SETS)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that pass the filters of the other orders and then the whole sets."""
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("all").alias(f"all_{x}"), F.col("set3").alias(f"three_{x}"))
-    p = lambda x: (F.col(f"n_{x}") - F.ceil(F.col(f"n_{x}") * percent / 100) + 1).cast("int")
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    both = both.where(F.arrays_overlap(F.slice("all_a", 1, p("a") + 1), F.slice("all_b", 1, p("b") + 1)))
-    both = both.where(F.arrays_overlap("three_a", "three_b"))
-    common = F.size(F.array_intersect("all_a", "all_b"))
-    return both.where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent).select("a", "b")
+class _Lists:
+    """Lists of numbers one after the other."""
+
+    def __init__(self, column: pa.ChunkedArray) -> None:
+        whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        self.flat = whole.flatten().to_numpy()
+        self.size = whole.value_lengths().to_numpy().astype(np.int64)
+        self.at = np.cumsum(self.size) - self.size
+
+    def of(self, k: int) -> np.ndarray:
+        return self.flat[self.at[k] : self.at[k] + self.size[k]]
+
+    def common(self, mine: np.ndarray, others: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+        """How many of each other list's (first) numbers are among ``mine``."""
+        size = self.size[others] if first is None else np.minimum(first[others], self.size[others])
+        values = self.flat[spread(self.at[others], size)]
+        sorted_ = np.sort(mine)
+        k = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
+        hit = np.concatenate([[0], np.cumsum(sorted_[k] == values)])
+        edge = np.concatenate([[0], np.cumsum(size)])
+        return hit[edge[1:]] - hit[edge[:-1]]
+
 
+def _linked(rows: np.ndarray, left: np.ndarray, one: _Lists, all_: _Lists, three: _Lists, n: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links among ``rows`` (places in the lists) of one block that span its components.
 
-def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, all_at_once: int = 8) -> DataFrame:
+    left: which of them are the left side of two tiles; all if there is one tile. Pairs within a component needn't be compared.
+    """
+    m = len(rows)
+    tokens = one.flat[spread(one.at[rows], one.size[rows])]
+    owner = np.repeat(np.arange(m), one.size[rows])
+    by = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[by], owner[by]
+    p = np.array([prefix_length(int(x), percent) for x in n], np.int64)
+    comp = np.arange(m)
+    across = not left.all()
+    size = n[rows]
+    links = []
+    for a in np.flatnonzero(left).tolist():
+        if not np.any(comp != comp[a]):
+            break
+        r = rows[a]
+        mine = one.of(r)
+        lo, hi = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
+        c = np.unique(owner[spread(lo, hi - lo)])
+        c = c[(~left[c] if across else c > a) & (comp[c] != comp[a])]
+        c = c[np.minimum(size[c], size[a]) * 100 >= np.maximum(size[c], size[a]) * percent]
+        if len(c):  # the second order
+            c = c[all_.common(all_.of(r)[: p[r]], rows[c], p) > 0]
+        if len(c):  # the third order
+            c = c[three.common(three.of(r), rows[c]) > 0]
+        if len(c):
+            both = all_.common(all_.of(r), rows[c])
+            for x in c[both * 100 >= percent * (size[c] + size[a] - both)].tolist():
+                if comp[x] != comp[a]:
+                    links.append((a, x))
+                    comp[comp == comp[x]] = comp[a]
+    return links
+
+
+def _links(blocks: DataFrame, percent: int) -> DataFrame:
+    """(a, b) from rows (key, block, tile, side, doc_id, n, set1, all, set3); each key is compared on its own."""
+
+    def compare(key, table):
+        release()
+        table = table.sort_by([("block", "ascending"), ("doc_id", "ascending")])
+        ids, block, n = (table.column(c).to_numpy() for c in ("doc_id", "block", "n"))
+        left, two = table.column("left").to_numpy(), table.column("two").to_numpy()
+        lists = [_Lists(table.column(c)) for c in ("set1", "all", "set3")]
+        edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+        found = []
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            rows = np.arange(a, b)
+            side = left[a:b] if two[a] else np.ones(b - a, bool)
+            found += [(a + x, a + y) for x, y in _linked(rows, side, *lists, n, percent)]
+        got = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(ids[got[:, 0]], pa.int64()), "b": pa.array(ids[got[:, 1]], pa.int64())})
+
+    return blocks.groupBy("key").applyInArrow(compare, "a long, b long")
+
+
+def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, tile: int = TILE_ELEMENTS) -> DataFrame:
     """(doc_id, n_shingles, component_id): components of the links Jaccard >= percent/100.
 
     component_id is the smallest doc_id reachable, itself included. A null or wordless text has the empty
     set and no link; of repeated doc_ids the smallest text counts (null first); rows without doc_id are
-    left out; other columns aren't read. ``all_at_once``: pairs across components left for each prefix
-    entry at which they are compared directly instead of by further rounds of leaders.
+    left out; other columns aren't read. ``tile``: elements of sets that one side of a task holds.
     """
     part, _, total = batched(docs)
     sets = materialize(_prefixes(part, n, percent, total), "sets")
     shared = sets.where("set1 is not null")
-    entries = materialize(shared.select(F.col("doc_id").alias("doc"), F.explode("set1").alias("tok"), F.col("doc_id").alias("comp"), F.lit(False).alias("led")), "entries")
-    links, labels = None, None
-    while True:
-        spread = entries.groupBy("tok").agg(F.count("*").alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.when(~F.col("led"), F.col("doc"))).alias("leader"), F.count_if(~F.col("led")).alias("fresh"))
-        open_ = spread.where("low <> high and fresh > 1 or low <> high and fresh = 1 and k > 1").where("leader is not null")
-        left = open_.agg(F.sum(F.col("k") * F.col("k")), F.sum("k")).first()
-        if not left[1]:
-            break
-        mine = entries.join(open_.select("tok", "leader"), "tok")
-        direct = left[0] <= all_at_once * left[1]
-        if direct:
-            other = mine.select("tok", F.col("doc").alias("b"), F.col("comp").alias("comp_b"), F.col("led").alias("led_b"))
-            pairs = mine.withColumnRenamed("doc", "a").join(other, "tok").where("a < b and comp <> comp_b and not led and not led_b")
-        else:
-            lead = mine.where("doc = leader").select("tok", F.col("comp").alias("comp_b"))
-            pairs = mine.where("doc <> leader and not led").join(lead, "tok").where("comp <> comp_b").select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b"))
-        found = materialize(_verified(pairs.select("a", "b").distinct(), shared, percent), "pairs")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        if direct:
-            break
-        mine = mine.withColumn("led", F.col("led") | (F.col("doc") == F.col("leader"))).select("doc", "tok", "led")
-        entries = materialize(mine.join(labels, mine.doc == labels.v, "left").select("doc", "tok", F.coalesce("comp", "doc").alias("comp"), "led"), "entries")
+    first = shared.groupBy("same").agg(F.min("doc_id").alias("a"))
+    copies = materialize(shared.select("same", F.col("doc_id").alias("b")).join(first, "same").select("a", "b"), "copies")
+    single = shared.join(copies.where("a = b").select(F.col("a").alias("doc_id")), "doc_id", "left_semi")
+    entries = materialize(single.select(F.col("doc_id").alias("b"), F.explode("set1").alias("tok")), "entries")
+    least = entries.groupBy("tok").agg(F.min("b").alias("a"), F.count("*").alias("k")).where("k > 1")
+    near = components(entries.join(least, "tok").where("a <> b").select("a", "b").distinct())
+    blocks = near.join(single.select("doc_id", "n"), near.v == F.col("doc_id")).groupBy("comp").agg(F.sum("n").alias("elements"))
+    blocks = blocks.withColumn("tiles", F.ceil(F.col("elements") / tile).cast("int"))
+    weight = blocks.agg(F.sum("elements")).first()[0] or 0
+    cells = max(1, weight // tile)
+    rows = single.join(near.join(blocks, "comp").select(F.col("v").alias("doc_id"), F.col("comp").alias("block"), "tiles"), "doc_id")
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    pair = F.xxhash64("block", F.least("tile", "other"), F.greatest("tile", "other"))
+    rows = rows.select(
+        F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("block"), F.lit(cells))).otherwise(pair).alias("key"), "block", (F.col("tile") < F.col("other")).alias("left"), (F.col("tile") != F.col("other")).alias("two"),
+        "doc_id", "n", "set1", "all", "set3",
+    )
+    labels = components(_links(rows, percent).unionByName(copies.where("a <> b")))
     out = sets.select("doc_id", F.col("n").alias("n_shingles"))
-    if labels is None:
-        return out.withColumn("component_id", F.col("doc_id"))
     return out.join(labels, out.doc_id == labels.v, "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from .blocks import batched, counts_of, one_of_each, repeated_keys
-from .kernels import U64, chunks, mix, prefix_hash, release, slice_hash, text_buffers
+from .kernels import U64, chunks, mix, prefix_hash, release, slice_hash, spread, text_buffers
 
 GRAM = 32
 CELL_ROWS = 1 << 13
@@ -73,12 +73,6 @@ def anchors(texts: list, length: int) -> list[tuple[np.ndarray, np.ndarray, np.n
     return out
 
 
-def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0]+1, ... sizes[0] of them, then those of starts[1] ..."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def _common(prefix: np.ndarray, x: np.ndarray, y: np.ndarray, length: int) -> np.ndarray:
     """Length of the common extension of the suffixes at x and y, at most ``length``."""
     low = np.zeros(len(x), np.int64)

@@ -10,15 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 
+from .kernels import spread
+
 CACHE_PIECES = 500_000
 MARKS = ".,;:!?|*#$%&"
 
 
-def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-
-
 class Encoder:
     """encode(texts) -> (ids of all texts one after the other, number of ids of each text)."""
 

@@ -105,9 +105,10 @@ def test_ngram_join(docs, texts, empty, odd):
     assert ngram_join.drop_near_duplicates(odd).columns == odd.columns
 
 
-def test_ngram_join_by_leaders_alone(docs, texts):
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_components(docs, 3, 40, all_at_once=0).collect()}
-    assert got == brute.components(texts, 3, 40)
+def test_ngram_join_in_tiles(docs, texts):
+    for tile in (1 << 12, 500):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_components(docs, 3, 40, tile=tile).collect()}
+        assert got == brute.components(texts, 3, 40)
 
 
 def test_repeats(docs, texts, empty, odd):

@@ -45,7 +45,7 @@ class Writer:
         import xxhash
         import zstandard
 
-        self.sink, self.pack, self.hash = sink, zstandard.ZstdCompressor(level=3, write_checksum=True), xxhash.xxh64_intdigest
+        self.sink, self.pack, self.hash = sink, zstandard.ZstdCompressor(level=1), xxhash.xxh64_intdigest
         self.docs: list[int] = []
         self.entries: list[bytes] = []
 
@@ -149,7 +149,7 @@ def read_tokens(spark: SparkSession, uri: str, manifest: DataFrame) -> DataFrame
     # one row for each file; ranges of doc_ids ascend with the files' numbers
     before = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    files = files.repartition("name")
+    files = files.repartition(max(1, manifest.count()))  # a task for each file, which adaptive execution leaves alone
 
     def read(batches):
         for batch in batches:

@@ -12,10 +12,22 @@ import numpy as np
 
 from .kernels import spread
 
-CACHE_PIECES = 500_000
+CACHE_PIECES = 800_000
 MARKS = ".,;:!?|*#$%&"
 
 
+class _Numbers(dict):
+    """Numbers strings in the order in which they are first asked for; ``new`` holds those since it was last emptied."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, p: str) -> int:
+        n = self[p] = len(self)
+        self.new.append(p)
+        return n
+
+
 class Encoder:
     """encode(texts) -> (ids of all texts one after the other, number of ids of each text)."""
 
@@ -41,7 +53,7 @@ class Encoder:
         self.lower = tokens("Ab") == tokens("ab") and self.closes is not None
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.tails: dict[str, list[int]] = {"": []}
         self.ids, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -72,13 +84,15 @@ class Encoder:
         """
         good, words, ends = [], {}, []
         for k, p in enumerate(pieces):
-            inner = p[1:] if p[:1] == "\n" else p
-            if inner and not inner[0].isspace() and not inner[-1].isspace():
+            inner = p.strip()
+            if inner and (inner == p or p[0] == "\n" and len(inner) == len(p) - 1):
                 word = p.rstrip(MARKS)
-                if len(word) == len(p) or not word[-1:].isalpha():
-                    word = p
-                good.append(k)
-                ends.append((words.setdefault(word, len(words)), p[len(word) :]))
+                if word[-1:].isalpha():
+                    good.append(k)
+                    ends.append((words.setdefault(word, len(words)), p[len(word) :]))
+                else:
+                    good.append(k)
+                    ends.append((words.setdefault(p, len(words)), ""))
         size = np.full(len(pieces), -1, np.int64)
         start = np.zeros(len(pieces), np.int64)
         if good:
@@ -96,7 +110,6 @@ class Encoder:
             out[spread(begin + n[word], more)] = np.array([i for t in tail for i in t], np.uint32)
             size[good], start[good] = total, len(self.ids) + begin
             self.ids = np.concatenate([self.ids, out])
-        self.known.update(zip(pieces, range(len(self.size), len(self.size) + len(pieces))))
         self.size, self.start = np.concatenate([self.size, size]), np.concatenate([self.start, start])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,10 +122,10 @@ class Encoder:
         # a first piece follows no space: it goes to the library as it is, with no cache
         heads = [s[0] for s in split]
         pieces = [p for s in split for p in s[1:]]
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if new:
-            self._learn(new)
         at = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        if known.new:
+            self._learn(known.new)
+            known.new = []
         counts = np.array([len(s) - 1 for s in split], np.int64)
         size, start = self.size[at], self.start[at]
         edge = np.concatenate([[0], np.cumsum(counts)])

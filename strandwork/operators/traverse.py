@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from strandwork.functions.globs import file_filter
 from strandwork.graph import Graph
@@ -36,12 +36,21 @@ def eligible(edges: DataFrame, include_ambiguous: bool = True, edge_types: list[
     return edges
 
 
-def distances(steps: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
-    """(root, id, depth) of every vertex within ``max_depth`` steps (near, far) of a root; roots have depth 0."""
+def distances(steps: DataFrame, roots: DataFrame, max_depth: int, nearest: int | None = None) -> DataFrame:
+    """(root, id, depth) of every vertex within ``max_depth`` steps (near, far) of a root; roots have depth 0.
+
+    nearest: keep only so many of the nearest roots of each vertex. What is nearest to a vertex is among the nearest
+    of the one before it on the way, so those that are kept are right.
+    """
     seen = frontier = materialize(roots.select("root", "id").distinct().withColumn("depth", F.lit(0)), "frontier")
     for d in range(1, max_depth + 1):
         far = frontier.join(steps, frontier.id == steps.near).select("root", F.col("far").alias("id")).distinct()
-        new = materialize(far.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(d)), "frontier")
+        new = far.join(seen.select("root", "id"), ["root", "id"], "left_anti")
+        if nearest is not None:
+            full = seen.groupBy("id").agg(F.count("*").alias("had"))
+            place = F.row_number().over(Window.partitionBy("id").orderBy("root"))
+            new = new.withColumn("place", place).join(full, "id", "left").where(F.col("place") <= nearest - F.coalesce("had", F.lit(0))).select("root", "id")
+        new = materialize(new.withColumn("depth", F.lit(d)), "frontier")
         if new.isEmpty():
             break
         seen, frontier = seen.unionByName(new), new
@@ -50,7 +59,7 @@ def distances(steps: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
 
 def reach(
     graph: Graph, roots: DataFrame, direction: str = "downstream", max_depth: int = DEPTH, include_ambiguous: bool = True,
-    edge_types: list[str] | None = None, node_types: list[str] | None = None, file_pattern: str | None = None,
+    edge_types: list[str] | None = None, node_types: list[str] | None = None, file_pattern: str | None = None, nearest: int | None = None,
 ) -> Reach:
     """Impact from each id of ``roots`` (root, id). Types, certainty prune the walk; node_types and file_pattern only filter
     the nodes that come back (a node without a file passes). "downstream" follows edges from source to target. A vertex that
@@ -61,8 +70,8 @@ def reach(
     edges = eligible(graph.edges, include_ambiguous, edge_types)
     known = graph.nodes.select(F.col("id").alias(near))
     steps = materialize(edges.join(known, near, "left_semi").select(F.col(near).alias("near"), F.col(far).alias("far")).distinct(), "steps")
-    seen = distances(steps, roots, max_depth)
-    nodes = graph.nodes.join(seen.where("depth > 0").select("root", "id", "depth"), "id")
+    seen = distances(steps, roots, max_depth, nearest)
+    nodes = graph.nodes.join(seen.where("depth > 0 and root <> id").select("root", "id", "depth"), "id")
     if node_types:
         nodes = nodes.where(F.col("type").isin([t.upper() for t in node_types]))
     if file_pattern:
@@ -78,8 +87,12 @@ def impact(graph: Graph, focus: str, **options) -> Reach:
 
 
 def batch_impact(graph: Graph, focus: DataFrame, **options) -> Reach:
-    """Union of the impacts of several ids (column id), each node and edge once; a focus counts where another one reaches it."""
-    r = reach(graph, focus.select(F.col("id").alias("root"), "id"), **options)
+    """Union of the impacts of several ids (column id), each node and edge once; a focus counts where another one reaches it.
+
+    Two nearest roots of each vertex are enough for that: of a focus one is itself, so the other tells. The walk's size
+    doesn't grow with the number of roots.
+    """
+    r = reach(graph, focus.select(F.col("id").alias("root"), "id"), nearest=2, **options)
     nodes = r.nodes.groupBy("id").agg(F.min("depth").alias("depth"))
     return Reach(graph.nodes.join(nodes, "id"), r.edges.drop("root").dropDuplicates(["id"]))
 

@@ -27,6 +27,7 @@ from .components import components
 from .kernels import mix, release, shingle_sets, spread, text_buffers
 
 SETS = "doc_id long, n long, same binary, set1 array<long>, all array<long>, set3 array<long>"
+SALTS = 16
 TILE_ELEMENTS = 1 << 19  # of sets that one side of a task holds, about
 
 
@@ -159,7 +160,10 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, tile: int =
     sets = materialize(_prefixes(part, n, percent, total), "sets")
     shared = sets.where("set1 is not null")
     first = shared.groupBy("same").agg(F.min("doc_id").alias("a"))
-    copies = materialize(shared.select("same", F.col("doc_id").alias("b")).join(first, "same").select("a", "b"), "copies")
+    # the rows of a large group of equal sets are dealt over salts; what they are joined with has a row for each salt
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = shared.select("same", F.col("doc_id").alias("b"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    copies = materialize(dealt.join(salted, ["same", "salt"]).select("a", "b"), "copies")
     single = shared.join(copies.where("a = b").select(F.col("a").alias("doc_id")), "doc_id", "left_semi")
     entries = materialize(single.select(F.col("doc_id").alias("b"), F.explode("set1").alias("tok")), "entries")
     least = entries.groupBy("tok").agg(F.min("b").alias("a"), F.count("*").alias("k")).where("k > 1")

@@ -23,7 +23,8 @@ from .kernels import U64, chunks, mix, prefix_hash, release, slice_hash, spread,
 
 GRAM = 32
 CELL_ROWS = 1 << 13
-OCCURRENCES = "cell int, anchor long, rel int, doc_id long, lo int, batch int, bytes binary"
+HOT = 500
+OCCURRENCES = "cell int, anchor long, rel int, doc_id long, lo int, batch int, share int, turn int, bytes binary"
 SPANS = "doc_id long, batch int, starts array<int>, ends array<int>"
 
 
@@ -168,8 +169,12 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[first], end[np.append(first[1:], len(start)) - 1]
 
 
-def repeated_spans(part: DataFrame, total: int, length: int = 100) -> DataFrame:
-    """(doc_id, batch, starts, ends) of bytes under windows that start earlier too; a doc_id has several rows."""
+def repeated_spans(part: DataFrame, total: int, length: int = 100, hot: int = HOT) -> DataFrame:
+    """(doc_id, batch, starts, ends) of bytes under windows that start earlier too; a doc_id has several rows.
+
+    An anchor that the corpus holds over ``hot`` times is compared in several shares, each with its part of the
+    places that the anchor can have in a window, so its windows are sorted by several tasks.
+    """
     answers, bits = repeated_keys(part, lambda t: [x[0] for x in anchors(t, length)], total * 2 // (length - GRAM + 2))
     cells = max(1, total // (40 * CELL_ROWS))
 
@@ -193,8 +198,13 @@ def repeated_spans(part: DataFrame, total: int, length: int = 100) -> DataFrame:
                 keep.append(i)
             else:
                 covered.append(i)
+        kept = np.array(keep, np.int64)
+        share = np.clip(df[often][kept] // hot, 1, length - GRAM + 1).astype(np.int64)
+        turn = spread(np.zeros(len(kept), np.int64), share)
+        kept, share = np.repeat(kept, share), np.repeat(share, share)
+        keys = np.where(turn > 0, mix(keys[kept] + turn.astype(U64), 7), keys[kept])  # shares are anchors of their own
         cell = (mix(keys, 3) % U64(cells)).astype(np.int32)
-        stretch = [bytes(texts[d][a : b + length]) for d, a, b in zip(doc[keep].tolist(), first[keep].tolist(), last[keep].tolist())]
+        stretch = [bytes(texts[d][a : b + length]) for d, a, b in zip(doc[kept].tolist(), first[kept].tolist(), last[kept].tolist())]
         batch = key[0].as_py()
         # stretches that equal an older one of the batch need no bytes: as spans of their document (rel = -1, anchor
         # holds the end), dealt by document, so that a very common passage doesn't meet in one cell
@@ -209,10 +219,11 @@ def repeated_spans(part: DataFrame, total: int, length: int = 100) -> DataFrame:
         own = (mix(ids[gone[0]].astype(np.int64).view(U64), 4) % U64(cells)).astype(np.int32) if gone[0] else np.zeros(0, np.int32)
         n = len(gone[0])
         return pa.table({
-            "cell": pa.array(np.concatenate([cell[keep], own])), "anchor": pa.array(np.concatenate([keys[keep].view(np.int64), np.array(gone[2], np.int64)])),
-            "rel": pa.array(np.concatenate([(place - first)[keep], np.full(n, -1)]).astype(np.int32)),
-            "doc_id": pa.array(np.concatenate([ids[doc[keep]], ids[gone[0]]]) if n else ids[doc[keep]], pa.int64()), "lo": pa.array(np.concatenate([first[keep], np.array(gone[1], np.int64)]).astype(np.int32)),
-            "batch": pa.array(np.full(len(keep) + n, batch, np.int32)), "bytes": pa.array([*stretch, *[None] * n], pa.binary()),
+            "cell": pa.array(np.concatenate([cell, own])), "anchor": pa.array(np.concatenate([keys.view(np.int64), np.array(gone[2], np.int64)])),
+            "rel": pa.array(np.concatenate([(place - first)[kept], np.full(n, -1)]).astype(np.int32)),
+            "doc_id": pa.array(np.concatenate([ids[doc[kept]], ids[gone[0]]]) if n else ids[doc[kept]], pa.int64()), "lo": pa.array(np.concatenate([first[kept], np.array(gone[1], np.int64)]).astype(np.int32)),
+            "batch": pa.array(np.full(len(kept) + n, batch, np.int32)), "share": pa.array(np.concatenate([share, np.ones(n, np.int64)]).astype(np.int32)),
+            "turn": pa.array(np.concatenate([turn, np.zeros(n, np.int64)]).astype(np.int32)), "bytes": pa.array([*stretch, *[None] * n], pa.binary()),
         })
 
     def spans(key, table):
@@ -227,7 +238,7 @@ def repeated_spans(part: DataFrame, total: int, length: int = 100) -> DataFrame:
         part = part[count[group] > 1]
         # the oldest of equal stretches stands for them; the others are covered
         pieces = table.column("bytes").take(pa.array(part)).to_pylist()
-        anchor = table.column("anchor").to_numpy()[part]
+        anchor, share, turn = (table.column(c).to_numpy()[part] for c in ("anchor", "share", "turn"))
         age = np.lexsort((lo[part], ids[part]))
         seen: dict[tuple, int] = {}
         alone = []
@@ -255,6 +266,8 @@ def repeated_spans(part: DataFrame, total: int, length: int = 100) -> DataFrame:
             at = spread(base, windows)
             owner = np.repeat(np.arange(len(alone)), windows)
             offset = rel[part[alone]].astype(np.int64)[owner] - (at - base[owner])  # of the anchor in the window
+            mine = offset % share[alone[owner]] == turn[alone[owner]]
+            owner, at, offset = owner[mine], at[mine], offset[mine]
             bucket = group[owner] * (length + 1) + offset
             gone = later_windows(data, at, bucket, owner, length)
             owner, at = owner[gone], at[gone]

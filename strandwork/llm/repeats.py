@@ -23,7 +23,7 @@ from .kernels import U64, chunks, mix, prefix_hash, release, slice_hash, spread,
 
 GRAM = 32
 CELL_ROWS = 1 << 13
-HOT = 500
+HOT = 1000
 OCCURRENCES = "cell int, anchor long, rel int, doc_id long, lo int, batch int, share int, turn int, bytes binary"
 SPANS = "doc_id long, batch int, starts array<int>, ends array<int>"
 

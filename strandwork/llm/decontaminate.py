@@ -23,6 +23,7 @@ from .kernels import U64, chunks, mix
 Q = 10
 EDIT_RATE = 0.08
 BLOCK_BYTES = 4 << 20  # of benchmark text that is sent to the workers at once
+ALIGNED_CELLS = 1 << 20  # of bands that are aligned at once
 HITS = "doc_id long, item_id long, start_char long, end_char long, edits long"
 
 _WHITE = np.zeros(0x3002, bool)
@@ -86,6 +87,8 @@ class Items:
         self.bloom = np.zeros(1 << _BLOOM_BITS, bool)
         self.bloom[(self.keys >> U64(64 - _BLOOM_BITS)).astype(np.int64)] = True
         self.short = [k for k in range(len(self.m)) if self.m[k] < q]
+        # added to diagonals, so that none is negative
+        self.shift = 1 << (int(self.m.max(initial=0)) + int(self.edits.max(initial=0)) + 1).bit_length()
 
     def candidates(self, codes: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, first diagonal) of the bands with enough shared q-grams. edge: where documents begin."""
@@ -105,7 +108,7 @@ class Items:
         entry = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         item, pos = self.item[entry], np.repeat(pos, n)
         step = self.edits[item] + 1
-        diag = pos - self.at[entry] + (1 << 20)  # never negative: items are far shorter
+        diag = pos - self.at[entry] + self.shift
         band = diag // step
         # a hit counts in the band that begins at its step and in the one before
         key = (item << 42) | band
@@ -119,7 +122,7 @@ class Items:
         item = all_keys >> 42
         good = all_n >= self.need[item]
         item, band = item[good], all_keys[good] & ((1 << 42) - 1)
-        low = band * (self.edits[item] + 1) - (1 << 20)
+        low = band * (self.edits[item] + 1) - self.shift
         # the band may begin in the document before: every document that it touches is tried
         out = []
         for i, d in zip(item.tolist(), low.tolist()):
@@ -130,9 +133,17 @@ class Items:
 
     def verify(self, codes: np.ndarray, edge: np.ndarray, doc: np.ndarray, item: np.ndarray, low: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, start, end, edits) of the bands in which the item occurs within its budget."""
-        out = []
-        for a in range(0, len(doc), 256):
-            out += self._align(codes, edge, doc[a : a + 256], item[a : a + 256], low[a : a + 256])
+        by = np.argsort(self.m[item], kind="stable")  # those aligned together are about as long as each other
+        doc, item, low = doc[by], item[by], low[by]
+        # cells of a row of the tables, and of the items side by side, that are held at once
+        cells = np.maximum(4 * self.edits[item] + 3, self.m[item])
+        out, a = [], 0
+        while a < len(doc):
+            b = a + 1
+            while b < min(len(doc), a + 256) and (b + 1 - a) * cells[b] <= ALIGNED_CELLS:
+                b += 1
+            out += self._align(codes, edge, doc[a:b], item[a:b], low[a:b])
+            a = b
         return out
 
     def _align(self, codes, edge, doc, item, low):
@@ -143,7 +154,7 @@ class Items:
         width = int((4 * e + 3).max())
         rows = int(m.max())
         lo, hi = edge[doc], edge[doc + 1]
-        big, unit = np.int64(1 << 50), np.int64(1 << 20)
+        big, unit = np.int64(1 << 60), np.int64(1 << 30)
         k = np.arange(width)
         start = low[:, None] + k  # of the stretch, if it begins on that diagonal
         fine = (start >= lo[:, None]) & (start <= hi[:, None]) & (k < (4 * e + 3)[:, None])

@@ -125,7 +125,7 @@ def write_tokens(docs: DataFrame, uri: str, vocab: str, end_id: int, file_bytes:
                 if writer is None:
                     fs, folder = _open_dir(uri)
                     fs.create_dir(folder, recursive=True)
-                    name, temporary = f"part-{part:06d}.zst", f"{folder}/.{uuid.uuid4().hex}.tmp"
+                    name, temporary = f"part-{part:010d}.zst", f"{folder}/.{uuid.uuid4().hex}.tmp"
                     sink = fs.open_output_stream(temporary)
                     writer = Writer(sink)
                 flat, size = tokens.encode(texts[a:b])
@@ -137,6 +137,8 @@ def write_tokens(docs: DataFrame, uri: str, vocab: str, end_id: int, file_bytes:
         if writer is not None:
             writer.close()
             sink.close()
+            if fs.get_file_info(f"{folder}/{name}").type != pafs.FileType.NotFound:  # of an attempt before; not every file system moves over a file
+                fs.delete_file(f"{folder}/{name}")
             fs.move(temporary, f"{folder}/{name}")
             yield pa.RecordBatch.from_pydict({"name": [name], "first_doc": pa.array([writer.docs[0]], pa.int64()), "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64())})
 

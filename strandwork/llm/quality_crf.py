@@ -17,7 +17,7 @@ from strandwork.session import ship_package, small_arrow_batches
 from .kernels import _SPACE, U64, chunks, mix, prefix_hash, slice_hash, text_buffers
 
 TRAIN_DOCS = 4000  # labelled documents that the model is fitted on, at most; taken by hash of doc_id
-TRAIN_LINES = 64  # lines of each that are used in the fit, from its beginning
+TRAIN_LINES = 64  # lines of each that the fit uses, at most: a stretch whose place is dealt by hash of doc_id
 KEEP_FROM = 0.3
 
 _CLASS = np.zeros((6, 256), np.int32)
@@ -215,9 +215,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS) -> Model:
     def features(batches):
         for batch in batches:
             lines = line_features(text_buffers(batch.column(1)))
+            room = np.array([max(0, len(f) - TRAIN_LINES) + 1 for f, _ in lines], U64)
+            start = (mix(batch.column(0).to_numpy().astype(np.int64).view(U64), 8) % room).astype(np.int64).tolist()
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(2).cast(pa.int32()),
-                pa.array([f[:TRAIN_LINES].astype(np.float32).tobytes() for f, _ in lines], pa.binary()), pa.array([n[:TRAIN_LINES].tobytes() for _, n in lines], pa.binary()),
+                pa.array([f[a : a + TRAIN_LINES].astype(np.float32).tobytes() for a, (f, _) in zip(start, lines)], pa.binary()),
+                pa.array([n[a : a + TRAIN_LINES].tobytes() for a, (_, n) in zip(start, lines)], pa.binary()),
             ], names=["doc_id", "quality", "f", "n"])
 
     rows = sorted(picked.mapInArrow(features, "doc_id long, quality int, f binary, n binary").collect(), key=lambda r: (r[0], bytes(r[2])))

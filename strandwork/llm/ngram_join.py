@@ -7,8 +7,9 @@ are intersected), and what is left is verified on the whole sets.
 
 Candidates aren't emitted as pairs of rows. Documents with the same set are first replaced by the smallest. Those
 that share rare-first prefix elements, directly or through others, form a block; only within a block can there be
-links. A block that is too large for one task is dealt to tiles and each pair of tiles is compared in a task of its own,
-so every two documents of a block meet exactly once. A task compares a document with the candidates
+links. In a block that is too large for one task each document is first compared with one leader, which makes near copies
+one component; then the block is dealt to tiles and each pair of tiles is compared in a task of its own, except those that hold
+only the largest component, so every two documents that aren't known to be connected meet exactly once. A task compares a document with the candidates
 that aren't yet in its component and answers with at most one link for each document, which is enough for the components.
 """
 
@@ -28,6 +29,7 @@ from .kernels import mix, release, shingle_sets, spread, text_buffers
 
 SETS = "doc_id long, n long, same binary, set1 array<long>, all array<long>, set3 array<long>"
 SALTS = 16
+FOLLOWERS = 1024  # documents that are compared with one copy of their leader, about
 TILE_ELEMENTS = 1 << 19  # of sets that one side of a task holds, about
 
 
@@ -91,10 +93,10 @@ class _Lists:
         return hit[edge[1:]] - hit[edge[:-1]]
 
 
-def _linked(rows: np.ndarray, left: np.ndarray, one: _Lists, all_: _Lists, three: _Lists, n: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def _linked(rows: np.ndarray, left: np.ndarray, one: _Lists, all_: _Lists, three: _Lists, n: np.ndarray, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links among ``rows`` (places in the lists) of one block that span its components.
 
-    left: which of them are the left side of two tiles; all if there is one tile. Pairs within a component needn't be compared.
+    label: components that are known already; left: which of them are the left side of two tiles; all if there is one tile. Pairs within a component needn't be compared.
     """
     m = len(rows)
     tokens = one.flat[spread(one.at[rows], one.size[rows])]
@@ -102,7 +104,7 @@ def _linked(rows: np.ndarray, left: np.ndarray, one: _Lists, all_: _Lists, three
     by = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[by], owner[by]
     p = np.array([prefix_length(int(x), percent) for x in n], np.int64)
-    comp = np.arange(m)
+    comp = np.unique(label[rows], return_inverse=True)[1]
     across = not left.all()
     size = n[rows]
     links = []
@@ -129,12 +131,12 @@ def _linked(rows: np.ndarray, left: np.ndarray, one: _Lists, all_: _Lists, three
 
 
 def _links(blocks: DataFrame, percent: int) -> DataFrame:
-    """(a, b) from rows (key, block, tile, side, doc_id, n, set1, all, set3); each key is compared on its own."""
+    """(a, b) from rows (key, block, left, two, doc_id, n, label, set1, all, set3); each key is compared on its own."""
 
     def compare(key, table):
         release()
         table = table.sort_by([("block", "ascending"), ("doc_id", "ascending")])
-        ids, block, n = (table.column(c).to_numpy() for c in ("doc_id", "block", "n"))
+        ids, block, n, label = (table.column(c).to_numpy() for c in ("doc_id", "block", "n", "label"))
         left, two = table.column("left").to_numpy(), table.column("two").to_numpy()
         lists = [_Lists(table.column(c)) for c in ("set1", "all", "set3")]
         edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
@@ -142,13 +144,30 @@ def _links(blocks: DataFrame, percent: int) -> DataFrame:
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
             rows = np.arange(a, b)
             side = left[a:b] if two[a] else np.ones(b - a, bool)
-            found += [(a + x, a + y) for x, y in _linked(rows, side, *lists, n, percent)]
+            found += [(a + x, a + y) for x, y in _linked(rows, side, *lists, n, label, percent)]
         got = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(ids[got[:, 0]], pa.int64()), "b": pa.array(ids[got[:, 1]], pa.int64())})
 
     return blocks.groupBy("key").applyInArrow(compare, "a long, b long")
 
 
+def _leader_links(single: DataFrame, entries: DataFrame, least: DataFrame, percent: int) -> DataFrame:
+    """Verified links (a, b) between each document of ``entries`` and one candidate: the smallest holder of most of its tokens.
+
+    A row for each document, so a group of near copies becomes one component without being compared in pairs. A
+    leader with many followers is repeated for shares of them.
+    """
+    pick = entries.join(least, "tok").where("a <> b").groupBy("b", "a").agg(F.count("*").alias("c"), F.max("k").alias("k"))
+    pick = pick.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("low"), "k")).alias("x"))
+    pick = materialize(pick.select("b", (-F.col("x.low")).alias("a"), F.ceil(F.col("x.k") / FOLLOWERS).cast("int").alias("shares")), "leaders")
+    mine = single.join(pick, single.doc_id == pick.b).select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), "n", "all")
+    lead = pick.groupBy("a").agg(F.max("shares").alias("shares")).join(single, F.col("a") == F.col("doc_id"))
+    lead = lead.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("n").alias("lead_n"), F.col("all").alias("lead_all"))
+    both = F.size(F.array_intersect("all", "lead_all"))
+    found = mine.join(lead, ["a", "share"]).where(both * 100 >= percent * (F.col("n") + F.col("lead_n") - both))
+    return materialize(found.select("a", "b"), "leads")
+
+
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, tile: int = TILE_ELEMENTS) -> DataFrame:
     """(doc_id, n_shingles, component_id): components of the links Jaccard >= percent/100.
 
@@ -168,18 +187,35 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, tile: int =
     entries = materialize(single.select(F.col("doc_id").alias("b"), F.explode("set1").alias("tok")), "entries")
     least = entries.groupBy("tok").agg(F.min("b").alias("a"), F.count("*").alias("k")).where("k > 1")
     near = components(entries.join(least, "tok").where("a <> b").select("a", "b").distinct())
-    blocks = near.join(single.select("doc_id", "n"), near.v == F.col("doc_id")).groupBy("comp").agg(F.sum("n").alias("elements"))
-    blocks = blocks.withColumn("tiles", F.ceil(F.col("elements") / tile).cast("int"))
-    weight = blocks.agg(F.sum("elements")).first()[0] or 0
-    cells = max(1, weight // tile)
-    rows = single.join(near.join(blocks, "comp").select(F.col("v").alias("doc_id"), F.col("comp").alias("block"), "tiles"), "doc_id")
-    rows = rows.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    placed = near.join(single.select("doc_id", "n"), near.v == F.col("doc_id"))
+    sizes = placed.groupBy(F.col("comp").alias("block")).agg(F.sum("n").alias("elements"))
+    links = copies.where("a <> b")
+    if sizes.where(F.col("elements") > tile).limit(1).count():
+        large = materialize(sizes.where(F.col("elements") > tile).select(F.col("block").alias("comp")), "large")
+        member = materialize(near.join(large, "comp", "left_semi").select("v"), "member")
+        leads = _leader_links(single, entries.join(member, entries.b == member.v, "left_semi"), least, percent)
+        links = links.unionByName(leads)
+        known = components(leads).select(F.col("v").alias("known_id"), F.col("comp").alias("known"))
+        placed = placed.join(known, F.col("doc_id") == F.col("known_id"), "left")
+    else:
+        placed = placed.withColumn("known", F.lit(None).cast("long"))
+    placed = placed.select("doc_id", "n", F.col("comp").alias("block"), F.coalesce("known", "doc_id").alias("label"))
+    shares = placed.groupBy("block", "label").agg(F.sum("n").alias("e")).groupBy("block").agg(F.sum("e").alias("elements"), F.max(F.struct("e", "label")).alias("most"))
+    over, more = F.col("elements") > tile, lambda c: F.ceil(c / tile).cast("int")
+    shares = shares.select("block", F.when(over, F.col("most.label")).alias("main"), F.when(over, more(F.col("most.e"))).otherwise(0).alias("mains"), F.when(over, more(F.col("elements") - F.col("most.e"))).otherwise(1).alias("rest"))
+    cells = max(1, (sizes.agg(F.sum("elements")).first()[0] or 0) // tile)
+    rows = single.join(placed.join(shares, "block").drop("n"), "doc_id")
+    is_main, dealt = F.coalesce(F.col("label") == F.col("main"), F.lit(False)), F.xxhash64("doc_id")
+    rows = rows.withColumn("tile", F.when(is_main, F.pmod(dealt, F.col("mains"))).otherwise(F.col("mains") + F.pmod(dealt, F.col("rest"))).cast("int"))
+    # tiles of the main component needn't meet each other; without a rest there is nothing left to compare
+    to_rest = F.when(F.col("rest") > 0, F.sequence(F.col("mains"), F.col("mains") + F.col("rest") - 1))
+    rows = rows.withColumn("other", F.explode(F.when(is_main, to_rest).otherwise(F.sequence(F.lit(0), F.col("mains") + F.col("rest") - 1))))
     pair = F.xxhash64("block", F.least("tile", "other"), F.greatest("tile", "other"))
     rows = rows.select(
-        F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("block"), F.lit(cells))).otherwise(pair).alias("key"), "block", (F.col("tile") < F.col("other")).alias("left"), (F.col("tile") != F.col("other")).alias("two"),
-        "doc_id", "n", "set1", "all", "set3",
+        F.when(F.col("mains") == 0, F.pmod(F.xxhash64("block"), F.lit(cells))).otherwise(pair).alias("key"), "block", (F.col("tile") < F.col("other")).alias("left"), (F.col("tile") != F.col("other")).alias("two"),
+        "doc_id", "n", "label", "set1", "all", "set3",
     )
-    labels = components(_links(rows, percent).unionByName(copies.where("a <> b")))
+    labels = components(_links(rows, percent).unionByName(links))
     out = sets.select("doc_id", F.col("n").alias("n_shingles"))
     return out.join(labels, out.doc_id == labels.v, "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 

@@ -100,6 +100,22 @@ c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.
 l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
 r AS (SELECT doc_id AS v, doc_id AS u FROM documents UNION SELECT r.v, l.b FROM r JOIN l ON l.a = r.u)
 SELECT n.doc_id, n.n AS n_shingles, (SELECT min(u) FROM r WHERE v = n.doc_id) AS component_id FROM n
+""",
+    # every 100-byte window, those that equal an earlier one, their runs, and what lies between the runs
+    "op10_suffix_dedup": r"""
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5_number(b[i:i + 99]) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 98)) AS i FROM b)),
+l AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS first FROM l),
+s AS (SELECT doc_id, i, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM s GROUP BY doc_id, span),
+k AS (
+  SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a, z NULLS LAST), 1) AS p
+  FROM (SELECT doc_id, a, z FROM r UNION ALL SELECT doc_id, n + 1, NULL FROM b)),
+o AS (
+  SELECT k.doc_id, cast(sum(coalesce(z - a, 0)) AS bigint) AS n_removed, count(z) AS n_spans, string_agg(hex(b[p:a - 1]), '' ORDER BY a, z NULLS LAST) AS kept
+  FROM k JOIN b ON b.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT b.doc_id, n AS n_bytes, n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM b JOIN o ON o.doc_id = b.doc_id
 """,
     "op9_chat_formatting": f"""
 WITH c AS (

@@ -96,6 +96,17 @@ def test_decontamination_keeps_clean_rows(spark, docs, odd, empty):
     assert decontaminate.contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_with_a_very_long_item(spark):
+    r = random.Random(8)
+    short = words(r, 30)
+    long = "".join(r.choice("abcdefgh ") for _ in range((1 << 20) + 99))
+    items = spark.createDataFrame([(1, long), (2, short)], "item_id long, text string")
+    got = decontaminate.contamination(spark.createDataFrame([(5, long[-40:], "en", "s", 0), (6, "x " + short, "en", "s", 0)], SCHEMA), items).collect()
+    assert [(x.doc_id, x.item_id, x.edits) for x in got] == [(6, 2, 0)]
+    item = words(r, 1500)  # about a band that is aligned on its own
+    assert [(x[1], x[4]) for x in decontaminate.find_in([item[:50] + "?" + item[51:]], decontaminate.Items([(1, item)], 10, 0.08))] == [(0, 1)]
+
+
 def test_ngram_join(docs, texts, empty, odd):
     for n, percent in ((4, 85), (5, 80), (2, 50)):
         got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_components(docs, n, percent).collect()}
@@ -111,6 +122,23 @@ def test_ngram_join_in_tiles(docs, texts):
         assert got == brute.components(texts, 3, 40)
 
 
+def test_ngram_join_of_a_hot_group(spark):
+    """Near copies of one text, some of which are only linked with each other, in blocks that are larger than a tile."""
+    r = random.Random(2)
+    base = words(r, 80).split(" ")
+    rows = {}
+    for k in range(300):
+        own = list(base)
+        for _ in range(k % 12):
+            own[r.randrange(len(own))] = f"new{r.randrange(9)}"
+        rows[k] = " ".join(own)
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows.items()], SCHEMA).repartition(3)
+    want = brute.components(rows, 4, 85)
+    assert len({c for _, c in want.values()}) > 3
+    for tile in (1 << 19, 2000):
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_components(df, 4, 85, tile=tile).collect()} == want
+
+
 def test_repeats(docs, texts, empty, odd):
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.repeat_report(docs).collect()}
     assert got == brute.repeats(texts)
@@ -242,6 +270,8 @@ def test_token_files(spark, docs, texts, empty, odd):
     assert got == want
     first = manifest.orderBy("name").first()
     fs, folder = token_io._open_dir(uri)
+    again = token_io.write_tokens(docs, uri, vocab, 2, file_bytes=4000)  # as a task that runs twice: the same files
+    assert sorted(again.collect()) == sorted(manifest.collect()) and len(fs.get_file_info(token_io.pafs.FileSelector(folder))) == manifest.count()
     with fs.open_input_file(f"{folder}/{first.name}") as f:
         r = token_io.Reader(f)
         assert [len(x) for x in r.find(first.first_doc)] == [want[first.first_doc][1]] and r.find(-5) == []

@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 
 from strandwork.plans import api
 from strandwork.sources import sinks
+from strandwork.sources.listing import ScanOptions
+from strandwork.streaming.refresh import Store, watch_tree
 
 
 def parser() -> argparse.ArgumentParser:
@@ -41,9 +43,23 @@ def parser() -> argparse.ArgumentParser:
     verb("cycles", edge_type=list, max_length=int)
     verb("export", "kind", "output")
     verb("serve", port=int, host=str)
+    verb("watch", "path", graph=False, output=str, exclude=list, include_js=bool, store=str, debounce_ms=int, rounds=int)
+    verb("mcp", graph=False, graph_path=str)
     return p
 
 
+def _watch(spark: SparkSession, a: argparse.Namespace) -> None:
+    if not a.output or not a.store:
+        raise ValueError("watch needs --output and --store")
+
+    def done(g, n: int) -> None:
+        sinks.write_parquet(g, a.output)
+        print(json.dumps({"round": n, "nodes": g.nodes.count(), "edges": g.edges.count()}), flush=True)
+
+    options = ScanOptions(a.path, exclude_patterns=a.exclude or [], include_js=a.include_js)
+    watch_tree(spark, options, Store(spark, a.store), done, (1500 if a.debounce_ms is None else a.debounce_ms) / 1000, rounds=a.rounds)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     try:
         a = parser().parse_args(argv)
@@ -80,6 +96,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 
             serve(api.load(spark, a.graph), a.port or 8080, a.host or "127.0.0.1").serve_forever()
             return 0
+        if a.verb == "mcp":
+            from strandwork.plans.mcp import Server
+
+            Server(spark, a.graph_path).run(sys.stdin, sys.stdout)
+            return 0
+        if a.verb == "watch":
+            _watch(spark, a)
+            return 0
         print(json.dumps(api.call(spark, tool, args), indent=2, default=str))
         return 0
     except api.NodeNotFound as e:

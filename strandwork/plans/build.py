@@ -47,15 +47,18 @@ def sources_table(spark: SparkSession, options: ScanOptions) -> tuple[DataFrame,
     return listed.mapInPandas(read, "path string, kind string, rank int, content binary, mtime double"), warnings
 
 
-def extract(sources: DataFrame) -> DataFrame:
-    """Facts of the Python and JavaScript files of (path, kind, rank, content); each file is parsed once."""
+def extract(sources: DataFrame, added=()) -> DataFrame:
+    """Facts of the Python and JavaScript files of (path, kind, rank, content); each file is parsed once.
+
+    ``added``: extractors of the caller, functions of a ``python_facts.File``, which run in the same pass over its tree.
+    """
     ship_package(sources.sparkSession)
 
     def parse(frames):
         for f in frames:
             rows = []
             for path, kind, rank, content in zip(f["path"], f["kind"], f["rank"], f["content"]):
-                rows += (python_facts if kind == "python" else js_facts).file_facts(path, int(rank), bytes(content))
+                rows += python_facts.file_facts(path, int(rank), bytes(content), added) if kind == "python" else js_facts.file_facts(path, int(rank), bytes(content))
             out = pd.DataFrame(rows, columns=_COLUMNS)
             for c in ("line_number", "certainty", "stage", "file", "n"):
                 out[c] = out[c].astype("Int32")
@@ -156,11 +159,11 @@ def assemble(facts: DataFrame, services: list[dict] | None = None, listing_warni
     return Graph(nodes, edges, w)
 
 
-def build(spark: SparkSession, options: ScanOptions) -> Graph:
-    """Scan a tree from scratch."""
+def build(spark: SparkSession, options: ScanOptions, added=()) -> Graph:
+    """Scan a tree from scratch. ``added``: see ``extract``."""
     sources, warnings = sources_table(spark, options)
     files, _ = scan(options)
-    facts = materialize(extract(sources), "facts")
+    facts = materialize(extract(sources, added), "facts")
     g = assemble(facts, configs.topology(os.path.realpath(options.root), [p for p, k in files if k == "config"]), warnings)
     g.metadata = {"root_path": os.path.realpath(options.root), "total_files": len(files)}
     return g

@@ -19,6 +19,7 @@ INTERFACES = ("ABC", "ABCMeta", "Protocol")
 RELATIONS = ("ForeignKey", "OneToOneField", "ManyToManyField")
 EXTRACTORS = "imports classes calls fastapi flask django sqlalchemy http annotations".split()
 UNKNOWN = "<dynamic>"
+ADDED_STAGE = 64  # of the first extractor that a caller adds
 
 FACTS = "kind string, stage int, file int, n int, prefix string, type string, name string, qualified_name string, display_name string, source_prefix string, source string, file_path string, line_number int, certainty int, meta map<string,string>, ref string, keys array<string>"
 
@@ -82,9 +83,12 @@ class File:
         self.out: list[dict] = []
         self.stage = 0
 
-    def facts(self) -> Iterator[dict]:
+    def facts(self, added=()) -> Iterator[dict]:
+        """``added``: functions of this file that emit more facts with ``node``, ``edge`` and ``warn``, after the built-in ones."""
         for self.stage, name in enumerate(EXTRACTORS):
             getattr(self, name)()
+        for self.stage, extractor in enumerate(added, ADDED_STAGE):
+            extractor(self)
         for n, f in enumerate(self.out):
             yield f | {"n": n}
 
@@ -412,10 +416,10 @@ def annotation_names(node: ast.AST | None) -> list[str]:
     return [name] if name and name not in TYPE_WRAPPERS else []
 
 
-def file_facts(path: str, rank: int, source: bytes) -> list[dict]:
+def file_facts(path: str, rank: int, source: bytes, added=()) -> list[dict]:
     """Facts of a file, or one warning where it can't be read as Python."""
     try:
-        return list(File(path, rank, source).facts())
+        return list(File(path, rank, source).facts(added))
     except UnicodeDecodeError as e:
         code, message = "DECODE_ERROR", str(e)
     except (SyntaxError, ValueError) as e:

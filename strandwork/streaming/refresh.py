@@ -37,17 +37,18 @@ class Store:
         manifest.write.parquet(f"{v}/manifest")
 
 
-def refresh(spark: SparkSession, options: ScanOptions, store: Store) -> Graph:
+def refresh(spark: SparkSession, options: ScanOptions, store: Store, added=()) -> Graph:
     """Parse only files whose content changed or that are new; the graph equals that of a full build.
 
     Files are ranked by path, so ranks move when files come and go: stored facts take their file's new rank.
+    ``added``: extractors of the caller (see ``extract``), the same ones for each refresh of a store.
     """
     sources, warnings = sources_table(spark, options)
     now = materialize(sources.withColumn("sha256", F.sha2("content", 256)), "sources")
     manifest = now.select("path", "kind", "rank", "sha256", "mtime")
     before = store.read()
     if before is None:
-        facts = materialize(extract(now), "facts")
+        facts = materialize(extract(now, added), "facts")
     else:
         old, was = before
         status = manifests.diff(was, manifest)
@@ -56,7 +57,7 @@ def refresh(spark: SparkSession, options: ScanOptions, store: Store) -> Graph:
         # a fact about another file's node has no file_path: its own file is found by the old rank
         named = old.join(was.select(F.col("rank").alias("file"), F.col("path").alias("fact_path")), "file")
         kept = named.join(kept, "fact_path").withColumn("file", F.col("rank")).select(*old.columns)
-        facts = materialize(kept.unionByName(extract(now.join(dirty, "path", "left_semi")).select(*old.columns)), "facts")
+        facts = materialize(kept.unionByName(extract(now.join(dirty, "path", "left_semi"), added).select(*old.columns)), "facts")
     store.write(facts, manifest)
     files, _ = scan(options)
     return assemble(facts, configs.topology(os.path.realpath(options.root), [p for p, k in files if k == "config"]), warnings)
@@ -72,3 +73,30 @@ def watch(changes: DataFrame, options: ScanOptions, store: Store, done: Callable
 
     w = changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+
+
+def _stamps(options: ScanOptions) -> dict[str, tuple[float, int]]:
+    """Time and size of every listed file."""
+    root, out = os.path.realpath(options.root), {}
+    for path, _ in scan(options)[0]:
+        try:
+            s = os.stat(os.path.join(root, path))
+        except FileNotFoundError:
+            continue  # gone since it was listed
+        out[path] = (s.st_mtime, s.st_size)
+    return out
+
+
+def watch_tree(spark: SparkSession, options: ScanOptions, store: Store, done: Callable[[Graph, int], None], debounce: float = 1.5, poll: float = 0.5, rounds: int | None = None) -> None:
+    """Refresh now and whenever the tree has changed and then been quiet for ``debounce`` seconds; ends after ``rounds`` refreshes."""
+    n, seen, built = 0, None, None
+    while rounds is None or n < rounds:
+        found, now = _stamps(options), time.monotonic()
+        if found != seen:
+            seen, since = found, now
+        if seen != built and (built is None or now - since >= debounce):
+            built = seen
+            done(refresh(spark, options, store), n)
+            n += 1
+        else:
+            time.sleep(poll)

@@ -244,6 +244,30 @@ def test_sharding_keeps_groups_together(spark):
     assert together > 0.8  # dealt by chance it is under 0.5
 
 
+def test_sharding_of_large_groups(spark):
+    """Groups of 33 %, 12 % and 3 % of all rows fill as few shards as the quota allows, beside 400 pairs."""
+    texts = ["hot"] * 2640 + ["warm"] * 960 + ["mild"] * 240 + [f"pair {k // 2}" for k in range(800)] + [f"own {k}" for k in range(3360)]
+    got = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    check_shards(got)
+    groups = defaultdict(set)
+    for x in got:
+        groups[texts[x.doc_id]].add(x.shard)
+    assert [len(groups[t]) for t in ("hot", "warm", "mild")] == [3, 1, 1]
+    assert sum(len(v) == 1 for t, v in groups.items() if t.startswith("pair")) >= 380
+
+
+def test_sharding_without_unlinked_rows(spark):
+    """Every row is linked, so rounds only exchange rows: quarters of the table, and groups of two to six beside them."""
+    texts = ["a"] * 2000 + ["b"] * 2000 + [f"few {k % 1000}" for k in range(4000)]
+    got = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    check_shards(got)
+    groups = defaultdict(Counter)
+    for x in got:
+        groups[texts[x.doc_id]][x.shard] += 1
+    assert len(groups["a"]) == len(groups["b"]) == 2
+    assert sum(max(c.values()) for t, c in groups.items() if t.startswith("few")) / 4000 > 0.9
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_is_the_library(name, texts):
     e = tokens.Encoder(tokens.vocabulary(name))

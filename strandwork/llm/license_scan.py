@@ -17,22 +17,47 @@ WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # fixed values: base phrases and the label of each
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# fixed values: (label, words that open or name the licence, phrases that must be there)
+# fixed values: (label, words that open or name the licence, phrases that must be there); the wordings of a licence share its label
 TEMPLATES = [
     ("agpl", "this program is licensed under the gnu affero general public license", ("gnu affero general public license",)),
+    ("agpl", "licensed under the gnu affero general public license", ("gnu affero general public license",)),
+    ("agpl", "under the terms of the gnu affero general public license", ("gnu affero general public license",)),
     ("apache", "licensed under the apache license version 2 0", ("apache license",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("source and binary forms",)),
+    ("bsd", "licensed under the bsd license", ("bsd license",)),
+    ("bsd", "licensed under the bsd 2 clause license", ("bsd 2 clause",)),
+    ("bsd", "licensed under the bsd 3 clause license", ("bsd 3 clause",)),
+    ("bsd", "use of this source code is governed by a bsd style license", ("bsd style license",)),
+    ("cc-by", "cc by 4 0", ("cc by 4 0",)),
+    ("cc-by", "creative commons attribution 4 0", ("creative commons attribution 4 0",)),
     ("cc-by", "licensed under cc by 4 0", ("cc by 4 0",)),
+    ("cc-by-nc", "cc by nc 4 0", ("cc by nc 4 0",)),
+    ("cc-by-nc", "creative commons attribution noncommercial 4 0", ("creative commons attribution noncommercial 4 0",)),
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
+    ("cc-by-nd", "cc by nd 4 0", ("cc by nd 4 0",)),
+    ("cc-by-nd", "creative commons attribution noderivatives 4 0", ("creative commons attribution noderivatives 4 0",)),
     ("cc-by-nd", "licensed under cc by nd 4 0", ("cc by nd",)),
+    ("cc-by-sa", "cc by sa 4 0", ("cc by sa 4 0",)),
+    ("cc-by-sa", "creative commons attribution sharealike 4 0", ("creative commons attribution sharealike 4 0",)),
     ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
     ("cc0", "to the extent possible under law the author has waived all copyright", ("waived all copyright",)),
+    ("cc0", "has waived all copyright and related or neighboring rights", ("waived all copyright",)),
+    ("cc0", "cc0 1 0 universal", ("cc0 1 0",)),
+    ("epl", "licensed under the eclipse public license", ("eclipse public license",)),
+    ("epl", "under the terms of the eclipse public license", ("eclipse public license",)),
     ("epl", "made available under the terms of the eclipse public license", ("eclipse public license",)),
     ("gpl", "licensed under the gnu general public license version 3", ("gnu general public license",)),
+    ("gpl", "under the terms of the gnu general public license", ("gnu general public license",)),
+    ("isc", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
+    ("isc", "licensed under the isc license", ("isc license",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
     ("lgpl", "licensed under the gnu lesser general public license", ("lesser general public license",)),
+    ("lgpl", "under the terms of the gnu lesser general public license", ("lesser general public license",)),
+    ("lgpl", "under the terms of the gnu library general public license", ("library general public license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("hereby granted free of charge",)),
     ("mit", "released under the mit license", ("mit license",)),
+    ("mpl", "licensed under the mozilla public license", ("mozilla public license",)),
+    ("mpl", "are subject to the mozilla public license", ("mozilla public license",)),
     ("mpl", "subject to the terms of the mozilla public license", ("mozilla public license",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
 ]
@@ -75,7 +100,8 @@ def _starts(w: Column, phrase: list[str]) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), a row for each row of ``docs``.
 
-    score: the largest share of a template's inverse document frequency that stands at its place, 1 where only a base
+    score: the largest share of a template's inverse document frequency (of a template that begins before the text: of
+    the words from the text's first on) that stands at its place, 1 where only a base
     phrase stands, else 0. A null text has no words. In an empty table every word is equally rare.
     """
     n, df = frequencies(docs)
@@ -94,18 +120,21 @@ def scan(docs: DataFrame) -> DataFrame:
     rare = _lits(sorted(posts))
     seen = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda o: o["x"].isin(sorted(posts)))
     guess = F.array_distinct(F.flatten(F.transform(seen, lambda o: F.transform(F.element_at(posting, o["x"]), lambda p: F.struct(p["k"].alias("k"), (o["i"] - p["at"]).alias("s"))))))
-    d = d.withColumn("guess", F.when(F.arrays_overlap("w", rare), F.filter(guess, lambda g: g["s"] >= 0)))
+    d = d.withColumn("guess", F.when(F.arrays_overlap("w", rare), guess))
     # what stands at each guess against its template, as (label, share)
     bodies = F.array(*[_lits(t) for _, t, _ in templates])
     weights = F.array(*[_lits([idf(w) for w in t]) for _, t, _ in templates])
-    whole = _lits([sum(idf(w) for w in t) for _, t, _ in templates])
     labels = _lits([label for label, _, _ in templates])
 
     def judged(g):
-        body, weight = F.get(bodies, g["k"]), F.get(weights, g["k"])
-        there = F.slice("w", g["s"] + 1, F.size(body))
+        # a template that begins before the text is judged on its words from the text's first on
+        skip = F.greatest(F.lit(0), -g["s"])
+        rest = lambda xs: F.slice(F.get(xs, g["k"]), skip + 1, F.size(F.get(xs, g["k"])) - skip)
+        total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+        body, weight = rest(bodies), rest(weights)
+        there = F.slice("w", F.greatest(F.lit(0), g["s"]) + 1, F.size(body))
         agree = F.zip_with(F.zip_with(there, body, lambda a, b: F.coalesce(a == b, F.lit(False))), weight, lambda ok, x: F.when(ok, x).otherwise(F.lit(0.0)))
-        share = F.aggregate(agree, F.lit(0.0), lambda s, x: s + x) / F.get(whole, g["k"])
+        share = total(agree) / total(weight)
         text = F.concat(F.lit(" "), F.array_join(there, " "), F.lit(" "))
         phrases = F.lit(True)
         for k, (_, _, ps) in enumerate(templates):

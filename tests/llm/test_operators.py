@@ -204,6 +204,25 @@ def test_license_scan(spark, empty, odd):
     assert license_scan.scan(empty).count() == 0 and license_scan.scan(odd).count() == odd.count()
 
 
+def test_license_scan_of_official_notices(spark):
+    rows = [
+        ("you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "agpl,gpl"),
+        ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "gpl,lgpl"),
+        ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gpl"),
+        ("License: CC BY 4.0", "cc-by"), ("Some text. License: CC BY-SA 4.0", "cc-by-sa"), ("CC BY 4.0", "cc-by"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+        ("The contents of this file are subject to the Mozilla Public License Version 1.1", "mpl"),
+        ("Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "bsd"),
+        ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted", "isc"),
+        ("hereby granted, free of charge, to any person obtaining a copy of this software", "mit"), ("charge, to any person obtaining a copy of this software", ""),
+        ("the terms of the general public were about a lesser license", ""), ("by 4 0 cc", ""),
+    ]
+    more = [(100 + k, "a plain text about the terms of this and that") for k in range(30)]
+    got = {x.doc_id: x for x in license_scan.scan(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)] + more, "doc_id long, text string")).collect()}
+    assert [got[k].labels for k in range(len(rows))] == [x for _, x in rows]
+    assert all(0 <= x.score <= 1 for x in got.values()) and got[3].score == 1 and got[100].score == 0
+
+
 def test_license_scan_on_documents(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     text = {x.doc_id: x.text for x in d.collect()}

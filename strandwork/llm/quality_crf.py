@@ -12,12 +12,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from strandwork.session import ship_package, small_arrow_batches
+from strandwork.session import materialize, ship_package, small_arrow_batches
 
 from .kernels import _SPACE, U64, chunks, mix, prefix_hash, slice_hash, text_buffers
 
 TRAIN_DOCS = 4000  # labelled documents that the model is fitted on, at most; taken by hash of doc_id
-TRAIN_LINES = 64  # lines of each that the fit uses, at most: a stretch whose place is dealt by hash of doc_id
+TRAIN_LINES = 256_000  # lines of all of them: whole documents are taken until there are as many, the first of each label always
+BLOCK = 256  # places of a longer chain are passed in blocks of so many at once
 KEEP_FROM = 0.3
 
 _CLASS = np.zeros((6, 256), np.int32)
@@ -77,31 +78,71 @@ def with_neighbours(f: np.ndarray) -> np.ndarray:
 
 
 class Chains:
-    """Forward and backward passes over many chains at once; each step takes one place of every chain."""
+    """Forward and backward passes over many chains at once; each step takes one place of every block.
+
+    A chain of more than BLOCK places is cut into blocks. What enters a block is the product of the 2 x 2 maps of those
+    before it, so the steps of a long chain are about three blocks and the number of its blocks.
+    """
 
     def __init__(self, sizes: list[int]) -> None:
         size = np.array(sizes, np.int64)
-        at = np.cumsum(size) - size
-        order = np.argsort(-size, kind="stable")
-        self.at, self.size = at[order], size[order]
-        self.cut = np.cumsum(size)[:-1]
-        self.longest = int(size.max(initial=0))
-        self.alive = [int(np.searchsorted(-self.size, -k, "left")) for k in range(self.longest + 1)]  # chains longer than k
+        count = -(-size // BLOCK)
+        chain, self.cut = np.repeat(np.arange(len(size)), count), np.cumsum(size)[:-1]
+        nth = np.arange(len(chain)) - np.repeat(np.cumsum(count) - count, count)
+        self.at = (np.cumsum(size) - size)[chain] + nth * BLOCK
+        self.size = np.minimum(BLOCK, size[chain] - nth * BLOCK)
+        self.order = np.argsort(-self.size, kind="stable")
+        self.longest = int(self.size.max(initial=0))
+        self.alive = self._alive(self.size[self.order])
+        # (blocks by size whose map is used, those of each level, the step to the block that they lead to)
+        left = count[chain] - 1 - nth
+        self.ways = [self._way(np.flatnonzero(left > 0), nth, 1), self._way(np.flatnonzero(nth > 0), left, -1)]
+
+    def _alive(self, size: np.ndarray) -> list[int]:
+        return [int(np.searchsorted(-size, -k, "left")) for k in range(int(size.max(initial=0)) + 1)]  # those longer than k
+
+    def _way(self, blocks: np.ndarray, level: np.ndarray, step: int) -> tuple[np.ndarray, list[np.ndarray], int]:
+        blocks = blocks[np.argsort(-self.size[blocks], kind="stable")]
+        by = np.argsort(level[blocks], kind="stable")
+        return blocks, np.split(by, np.flatnonzero(np.diff(level[blocks][by])) + 1) if len(by) else [], step
+
+    def _enter(self, e: np.ndarray, a: np.ndarray, way) -> np.ndarray:
+        """The message into the first place of each block in this direction; 0 at an end of a chain."""
+        blocks, levels, step = way
+        into = np.ones((2, len(self.at)))
+        if not len(blocks):
+            return np.zeros(len(self.at))
+        size = self.size[blocks]
+        first = self.at[blocks] if step > 0 else self.at[blocks] + size - 1
+        maps = np.repeat(np.eye(2)[:, :, None], len(blocks), axis=2)
+        for k, n in enumerate(self._alive(size)[:-1]):
+            up, low = maps[0, :, :n] * np.exp(e[first[:n] + step * k]), maps[1, :, :n]
+            new = np.stack([a[0, 0] * up + a[0, 1] * low, a[1, 0] * up + a[1, 1] * low])
+            maps[:, :, :n] = new / new.max(axis=(0, 1))
+        for some in levels:
+            v = np.einsum("abn,bn->an", maps[:, :, some], into[:, blocks[some]])
+            into[:, blocks[some] + step] = v / v.sum(axis=0)
+        return np.log(into[0] / into[1])
 
     def messages(self, e: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds of state 1 from the places up to each one, and from those after it. e holds emission
         log-odds, chain after chain; t log weights of transitions."""
         fwd, bwd = np.zeros(len(e)), np.zeros(len(e))
+        x = np.exp(t)
+        ahead = self._enter(e, np.array([[x[1, 1], x[0, 1]], [x[1, 0], x[0, 0]]]), self.ways[0])[self.order]
+        behind = self._enter(e, np.array([[x[1, 1], x[1, 0]], [x[0, 1], x[0, 0]]]), self.ways[1])
+        first = self.at[self.order]
         for k in range(self.longest):
-            at = self.at[: self.alive[k]] + k
+            at = first[: self.alive[k]] + k
             if k == 0:
-                r = e[at]
+                r = e[at] + ahead
             else:
                 r = r[: len(at)]
                 r = e[at] + np.logaddexp(r + t[1, 1], t[0, 1]) - np.logaddexp(r + t[1, 0], t[0, 0])
             fwd[at] = r
+        bwd[self.at + self.size - 1] = behind
         for k in range(self.longest - 2, -1, -1):
-            at = self.at[: self.alive[k + 1]] + k
+            at = first[: self.alive[k + 1]] + k
             s = e[at + 1] + bwd[at + 1]
             bwd[at] = np.logaddexp(s + t[1, 1], t[1, 0]) - np.logaddexp(s + t[0, 1], t[0, 0])
         return fwd, bwd
@@ -205,7 +246,8 @@ def fold(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS) -> Model:
-    """A model from at most ``sample`` labelled documents outside fold 0. Repeated labels count as their smallest."""
+    """A model from the whole texts of at most ``sample`` labelled documents outside fold 0, fewer if they are long
+    (TRAIN_LINES). Repeated labels count as their smallest."""
     ship_package(docs.sparkSession)
     small_arrow_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").where(fold("doc_id") != 0).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -214,16 +256,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS) -> Model:
 
     def features(batches):
         for batch in batches:
-            lines = line_features(text_buffers(batch.column(1)))
-            room = np.array([max(0, len(f) - TRAIN_LINES) + 1 for f, _ in lines], U64)
-            start = (mix(batch.column(0).to_numpy().astype(np.int64).view(U64), 8) % room).astype(np.int64).tolist()
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(2).cast(pa.int32()),
-                pa.array([f[a : a + TRAIN_LINES].astype(np.float32).tobytes() for a, (f, _) in zip(start, lines)], pa.binary()),
-                pa.array([n[a : a + TRAIN_LINES].tobytes() for a, (_, n) in zip(start, lines)], pa.binary()),
-            ], names=["doc_id", "quality", "f", "n"])
-
-    rows = sorted(picked.mapInArrow(features, "doc_id long, quality int, f binary, n binary").collect(), key=lambda r: (r[0], bytes(r[2])))
+            texts = text_buffers(batch.column(1))
+            for a, b in chunks([len(t) for t in texts]):
+                lines = line_features(texts[a:b])
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0)[a:b], batch.column(2)[a:b].cast(pa.int32()), pa.array([len(n) for _, n in lines], pa.int64()),
+                    pa.array([f.astype(np.float32).tobytes() for f, _ in lines], pa.binary()), pa.array([n.tobytes() for _, n in lines], pa.binary()),
+                ], names=["doc_id", "quality", "n_lines", "f", "n"])
+
+    found = materialize(picked.mapInArrow(features, "doc_id long, quality int, n_lines long, f binary, n binary"), "features")
+    sizes = found.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.sum("n_lines").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # at most ``sample`` rows
+    taken, total, seen = [], 0, set()
+    for r in sizes:
+        label = int(r[1] > 0)
+        if total < TRAIN_LINES or (label not in seen and r[2]):
+            taken.append(r[0])
+            total += r[2]
+            if r[2]:
+                seen.add(label)
+    if len(taken) < len(sizes):
+        found = found.where(F.col("doc_id").isin(taken))
+    rows = sorted(found.select("doc_id", "quality", "f", "n").collect(), key=lambda r: (r[0], bytes(r[2])))
     lines = [(np.frombuffer(r[2], np.float32).reshape(-1, N_FEATURES), np.frombuffer(r[3], np.float64)) for r in rows]
     return train(lines, [int(r[1] > 0) for r in rows])
 

@@ -397,6 +397,32 @@ def test_quality_classifier(spark, docs, empty, odd):
     assert quality_crf.score(docs, model).where("score is null or score < 0 or score > 1").count() == 0
 
 
+def test_quality_classifier_fits_on_whole_texts(spark, monkeypatch):
+    """Long documents go to the fit with all their lines; where that is too much, with fewer documents."""
+    good, bad = "This is a line of a plain text, as they go.", "BUY ### $$$ NOW!!! <<<>>> 1234"
+    rows = [(k, "\n".join([good] * (300 + k) + ([bad] * 40 if k % 2 else []))) for k in range(20)]
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k, _ in rows], "doc_id long, quality int")
+    d, given = spark.createDataFrame(rows, "doc_id long, text string"), []
+    monkeypatch.setattr(quality_crf, "train", lambda lines, quality: given.append((sorted(len(f) for f, _ in lines), quality)))
+    whole = {k: len(t.split("\n")) for k, t in rows if zlib.crc32(str(k).encode()) % 5}
+    quality_crf.fit(d, labels)
+    assert given[0][0] == sorted(whole.values())
+    monkeypatch.setattr(quality_crf, "TRAIN_LINES", 1)
+    quality_crf.fit(d, labels)
+    assert len(given[1][0]) == 2 and set(given[1][1]) == {0, 1} and set(given[1][0]) <= set(whole.values())
+
+
+def test_chain_marginals_in_blocks(monkeypatch):
+    r = np.random.default_rng(6)
+    t = r.normal(size=(2, 2))
+    chains = [np.clip(r.normal(size=n) * 8, -30, 30) for n in (1, 256, 900, 257, 3, 512)]
+    got = quality_crf.marginal_logits(chains, t)
+    for block in (5, 10**6):
+        monkeypatch.setattr(quality_crf, "BLOCK", block)
+        for a, b in zip(got, quality_crf.marginal_logits(chains, t)):
+            assert np.allclose(a, b, rtol=0, atol=1e-9)
+
+
 def test_chat_formatting_round_trip(spark):
     rows = [
         (1, 0, "system", "be <|im_end|>\n kind \\ [INST]"), (1, 1, "user", None), (1, 2, "assistant", "ü<|im_start|>x\\"), (1, 3, "assistant", ""), (2, 5, "user", "only"), (3, 0, None, "x"), (3, 0, "a\nb\\n<|nl|>", "y"), (3, 0, "a\nb\\n<|nl|>", "y"),

@@ -6,6 +6,8 @@ q-grams with the text, all within e + 1 neighbouring diagonals (place in the tex
 Bands of 2 * (e + 1) diagonals that overlap by half hold any such stretch whole, so shared q-grams
 are counted for each item and band, bands of at least T are kept, and each is verified by banded alignment
 of the whole item against the stretch. The bound makes the filter lossless within the edit budget.
+Items of over LONG characters are looked for in overlapping pieces too, with the same lemma and alignment, so that excerpts
+of them are found.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from .kernels import U64, chunks, mix
 
 Q = 10
 EDIT_RATE = 0.08
+LONG = 400  # characters; longer items are looked for in pieces too
+PIECE = 300  # characters of a piece; one begins every PIECE / 2, so PIECE * 3 / 2 characters in a row hold one whole
 BLOCK_BYTES = 4 << 20  # of benchmark text that is sent to the workers at once
 ALIGNED_CELLS = 1 << 20  # of bands that are aligned at once
 HITS = "doc_id long, item_id long, start_char long, end_char long, edits long"
@@ -62,7 +66,10 @@ def grams(codes: np.ndarray, q: int) -> np.ndarray:
 
 
 class Items:
-    """The benchmark's q-grams with their postings, and the edit budget of each item."""
+    """The benchmark's q-grams with their postings, and the edit budget of each item.
+
+    Pieces of long items stand after the items as items of their own; ``of`` is the item that each belongs to.
+    """
 
     def __init__(self, rows: list[tuple[int, str]], q: int, rate: float) -> None:
         self.q = q
@@ -72,6 +79,12 @@ class Items:
             if len(c):
                 self.ids.append(i)
                 self.codes.append(c)
+        self.of = list(range(len(self.codes)))
+        for k, c in enumerate(self.codes[:]):
+            if len(c) > LONG:
+                starts = [*range(0, len(c) - PIECE, PIECE // 2), len(c) - PIECE]
+                self.codes += [c[a : a + PIECE] for a in starts]
+                self.of += [k] * len(starts)
         m = np.array([len(c) for c in self.codes], np.int64)
         # the lemma needs T >= 1; items shorter than q are looked for as they are
         self.edits = np.maximum(0, np.minimum((m * rate).astype(np.int64), (m - q) // q))
@@ -183,7 +196,8 @@ class Items:
 
 
 def find_in(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, item, start, end, edits) in characters of the text; of overlapping finds of an item the closest."""
+    """(text, item, start, end, edits) in characters of the text; of overlapping finds of an item the closest, and
+    those of its pieces only where none of the whole is."""
     for a, b in chunks([len(t) for t in texts], 1 << 18):
         part = texts[a:b]
         joined = "\n".join(part) + "\n"
@@ -194,7 +208,8 @@ def find_in(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, int
         for i in items.short:
             found += [(d, i, s, s + int(items.m[i]), 0) for d in range(len(part)) for s in _exact(codes, int(edge[d]), int(edge[d + 1]), items.codes[i])]
         last: dict[tuple[int, int], int] = {}
-        for d, i, s, e, n in sorted(found, key=lambda x: (x[0], x[1], x[4], x[2], x[3])):
+        found = [(d, items.of[i], items.of[i] != i, s, e, n) for d, i, s, e, n in found]
+        for d, i, _, s, e, n in sorted(found, key=lambda x: (x[0], x[1], x[2], x[5], x[3], x[4])):
             spans = last.setdefault((d, i), [])
             if all(e <= x or s >= y for x, y in spans):
                 spans.append((s, e))
@@ -212,15 +227,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_rate:
     """(doc_id, item_id, start_char, end_char, edits): places of ``docs`` where a benchmark item occurs.
 
     An item occurs where a stretch of the text is within floor(edit_rate * its length) edits of it (fewer for
-    items so short that the lemma would find nothing; items shorter than q must occur as they are). Null or
+    items so short that the lemma would find nothing; items shorter than q must occur as they are). Of an item of over LONG
+    characters a piece of PIECE characters is enough: the row is then the piece's place and its edits. Null or
     blank items never occur and null texts hold none; rows of repeated ids are judged each on their own. The benchmark is
-    sent to the workers in blocks of at most BLOCK_BYTES (one longer item is a block of its own), each against all rows.
+    sent to the workers in blocks of at most BLOCK_BYTES (one longer item is a block of its own; pieces count), each against all rows.
     """
     spark = docs.sparkSession
     ship_package(spark)
     small_arrow_batches(spark)
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = items.agg(F.sum(F.octet_length("text") * F.when(F.length("text") > LONG, 3).otherwise(1))).first()[0] or 0
     blocks = -(-total // (BLOCK_BYTES // 2)) or 1
     out = None
     for block in range(blocks):

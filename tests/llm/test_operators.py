@@ -107,6 +107,22 @@ def test_decontamination_with_a_very_long_item(spark):
     assert [(x[1], x[4]) for x in decontaminate.find_in([item[:50] + "?" + item[51:]], decontaminate.Items([(1, item)], 10, 0.08))] == [(0, 1)]
 
 
+def test_decontamination_finds_excerpts_of_long_items(spark):
+    r = random.Random(9)
+    item, other = words(r, 300), words(r, 60)
+    assert len(item) > 2 * decontaminate.LONG and len(other) <= decontaminate.LONG
+    half, cut = item[100 : 100 + decontaminate.PIECE * 3 // 2], item[-decontaminate.PIECE * 2 : -decontaminate.PIECE // 2]
+    edited = half[:200] + "zz" + half[203:]
+    rows = [f"{words(r, 30)} {half} {words(r, 30)}", words(r, 40) + " " + edited, cut, f"x {item} y", words(r, 200), item[: decontaminate.PIECE // 2], other[:150]]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(rows)], SCHEMA)
+    got = decontaminate.contamination(docs, spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == {(0, 1), (1, 1), (2, 1), (3, 1)}
+    for x in got:
+        assert x.edits <= 24 and (x.doc_id == 1 or (x.edits == 0 and decontaminate.lowered(rows[x.doc_id][x.start_char : x.end_char]) in decontaminate.lowered(item)))
+    whole = [x for x in got if x.doc_id == 3]
+    assert len(whole) == 1 and whole[0].end_char - whole[0].start_char == len(item)
+
+
 def test_ngram_join(docs, texts, empty, odd):
     for n, percent in ((4, 85), (5, 80), (2, 50)):
         got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_components(docs, n, percent).collect()}

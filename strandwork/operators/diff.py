@@ -65,9 +65,9 @@ def _stored_paths(graph: Graph, r: DataFrame) -> DataFrame:
     return exact.unionByName(close.groupBy("file_path", "line_start", "line_end").agg(F.min("stored").alias("stored")).select(F.col("stored").alias("file_path"), "line_start", "line_end"))
 
 
-def diff_impact(graph: Graph, r: DataFrame, max_depth: int = 64, compat: bool = False) -> DiffImpact:
+def diff_impact(graph: Graph, r: DataFrame, max_depth: int | None = None, compat: bool = False) -> DiffImpact:
     """changed: nodes of the regions' files that have no line or one inside; immediate: one edge away in either direction;
-    transitive: what is further downstream of those (with ``compat`` always empty)."""
+    transitive: what is further downstream of those, within ``max_depth`` steps of them if it is given (with ``compat`` always empty)."""
     changed = materialize(graph.nodes.join(_stored_paths(graph, r), "file_path").where("line_number is null or line_number between line_start and line_end").select("id").distinct(), "changed")
     e = graph.edges.select("source_id", "target_id")
     near = e.join(changed.withColumnRenamed("id", "source_id"), "source_id", "left_semi").select(F.col("target_id").alias("id")).unionByName(e.join(changed.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select(F.col("source_id").alias("id")))

@@ -9,6 +9,7 @@ adaptive execution do so.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -36,14 +37,14 @@ def eligible(edges: DataFrame, include_ambiguous: bool = True, edge_types: list[
     return edges
 
 
-def distances(steps: DataFrame, roots: DataFrame, max_depth: int, nearest: int | None = None) -> DataFrame:
-    """(root, id, depth) of every vertex within ``max_depth`` steps (near, far) of a root; roots have depth 0.
+def distances(steps: DataFrame, roots: DataFrame, max_depth: int | None, nearest: int | None = None) -> DataFrame:
+    """(root, id, depth) of every vertex within ``max_depth`` steps (near, far) of a root, None: any number; roots have depth 0.
 
     nearest: keep only so many of the nearest roots of each vertex. What is nearest to a vertex is among the nearest
     of the one before it on the way, so those that are kept are right.
     """
     seen = frontier = materialize(roots.select("root", "id").distinct().withColumn("depth", F.lit(0)), "frontier")
-    for d in range(1, max_depth + 1):
+    for d in count(1) if max_depth is None else range(1, max_depth + 1):
         far = frontier.join(steps, frontier.id == steps.near).select("root", F.col("far").alias("id")).distinct()
         new = far.join(seen.select("root", "id"), ["root", "id"], "left_anti")
         if nearest is not None:
@@ -54,6 +55,8 @@ def distances(steps: DataFrame, roots: DataFrame, max_depth: int, nearest: int |
         if new.isEmpty():
             break
         seen, frontier = seen.unionByName(new), new
+        if d % 32 == 0:
+            seen = materialize(seen, "seen")  # so that the plan of a long walk stays small
     return seen
 
 

@@ -120,3 +120,12 @@ def test_tools_routes_and_command_line(g, spark, tmp_path, capsys):
     assert main(["search", "run", "--graph", folder], spark) == 0 and "p.main::run" in capsys.readouterr().out
     assert main(["impact", "no such node", "--graph", folder], spark) == 1 and main(["impact", "p.main", "--graph", folder, "--direction", "up"], spark) == 2 and main(["nonsense"], spark) == 2
     assert main(["export", "csv", str(tmp_path / "c"), "--graph", folder], spark) == 0
+
+
+def test_diff_impact_follows_chains_to_their_ends(spark):
+    n = 72
+    nodes = spark.createDataFrame([(f"n{k}", f"f{k}", 1) for k in range(n)], "id string, file_path string, line_number int").cache()
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(n - 1)], "source_id string, target_id string").cache()
+    r = diff.regions(spark, [("f0", 1, 1)])
+    assert ids(diff.diff_impact(Graph(nodes, edges), r).transitive) == sorted(f"n{k}" for k in range(2, n))
+    assert ids(diff.diff_impact(Graph(nodes, edges), r, max_depth=3).transitive) == ["n2", "n3", "n4"]

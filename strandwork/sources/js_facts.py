@@ -18,6 +18,8 @@ _FUNCTION = re.compile(r"\b(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*(?
 _METHOD = re.compile(r"(?:^|[;{}\n])\s*(?:public |private |protected |static |async |get |set )*([A-Za-z_$][\w$]*)\s*\([^()]*\)\s*(?::\s*[\w<>\[\]| ]+)?\{")
 _CALL = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)\s*\(")
 _HTTP = re.compile(r"(?<![\w$.])(fetch|useQuery|useSWR|useMutation|axios(?:\s*\.\s*(\w+))?)\s*(?:<[^>()]*>)?\(\s*")
+_FIRST, _SECOND, _LISTED = re.compile(r"(§\d+§)"), re.compile(r"\[\s*§\d+§\s*,\s*(§\d+§)"), re.compile(r"\[\s*(§\d+§)")
+_BRACKET = re.compile(r"[()\[\]{}]")
 _KEYWORDS = frozenset("if for while switch catch function return typeof await super import require constructor".split())
 
 
@@ -98,6 +100,22 @@ class File:
                 return at, k + 1
         return at, len(self.text)
 
+    def _own(self, at: int) -> str:
+        """What stands in the object that begins here, up to its closing brace, without what is in brackets inside."""
+        depth, out, start = 0, [], at
+        for m in _BRACKET.finditer(self.text, at):
+            if m[0] in "([{":
+                if depth == 1:
+                    out.append(self.text[start : m.start()])
+                depth += 1
+            else:
+                depth -= 1
+                if depth == 0:
+                    return " ".join([*out, self.text[start : m.start()]])
+            if depth == 1:
+                start = m.end()
+        return " ".join(out)
+
     def functions(self) -> None:
         self.spans: list[tuple[int, int, str]] = []
         me, names = ("jsmod", self.module), {}
@@ -129,19 +147,20 @@ class File:
     def http(self) -> None:
         for m in _HTTP.finditer(self.text):
             verb = m[2]
-            rest = self.text[m.end() : m.end() + 400]
+            at = m.end()
             method = "GET"
             if m[1].startswith("axios"):
                 if verb and verb not in AXIOS_VERBS:
                     continue
                 method = (verb or "get").upper()
-            s = re.match(r"(§\d+§)", rest) or re.match(r"\[\s*§\d+§\s*,\s*(§\d+§)", rest)
-            if not s and rest.startswith("{"):
+            s = _FIRST.match(self.text, at) or _SECOND.match(self.text, at)
+            if not s and self.text.startswith("{", at):
+                rest = self._own(at)
                 s = re.search(r"\burl\s*:\s*(§\d+§)", rest)
                 given = re.search(r"\bmethod\s*:\s*(§\d+§)", rest)
                 method = self._string(given[1]).upper() if given else method
-            elif not s and rest.startswith("["):
-                s = re.match(r"\[\s*(§\d+§)", rest)
+            elif not s and self.text.startswith("[", at):
+                s = _LISTED.match(self.text, at)
             url = self._string(s[1]) if s else UNKNOWN
             inner = [x for x in self.spans if x[0] <= m.start() < x[1]]
             caller = ("jsfunc", max(inner)[2]) if inner else ("jsmod", self.module)

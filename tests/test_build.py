@@ -150,3 +150,13 @@ def test_watch(spark, tmp_path):
     q = watch(spark.readStream.schema("path string").json(str(feed)), ScanOptions(r), Store(spark, str(tmp_path / "s")), lambda g, n: got.append(g.nodes.count()), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert got == [2]
+
+
+def test_long_arguments_of_http_calls():
+    from strandwork.sources.js_facts import file_facts
+
+    headers = ", ".join(f"'x-header-{k}': 'value {k}'" for k in range(60))
+    source = f"axios({{ headers: {{ {headers} }}, data: {{ url: '/inner', f: (a) => [a] }}, url: '/far', method: 'put' }});\naxios({{ data: {{ url: '/inner' }}, url: where }});\naxios({{ url: '/near' }});\nfetch('/plain');\n"
+    assert len(headers) > 800
+    got = [(f["name"], f["certainty"]) for f in file_facts("a.js", 0, source.encode()) if f["type"] == "EXTERNAL_ENDPOINT"]
+    assert got == [("PUT /far", 3), ("GET <dynamic>", 1), ("GET /near", 3), ("GET /plain", 3)]

@@ -3,17 +3,27 @@
 The library splits a text before its merges run, and a single space or line break between two characters
 that aren't white space is always such a split. So the ids of a text are those of its pieces one after the
 other, and pieces recur: each is encoded by the library once for each worker and kept in a bounded cache.
-A text with any other run of white space is encoded whole.
+A text with any other run of white space is encoded whole. Steps that lean on what a vocabulary does to letters
+(lowering before the cache, cutting marks off a word, encoding many words as one text) are only taken for plain
+letters, whose normal form and lower case are one letter each wherever they stand.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from .kernels import spread
 
 CACHE_PIECES = 800_000
 MARKS = ".,;:!?|*#$%&"
+# up to Latin Extended-B nothing composes with a neighbour; U+0130 lowers to two characters
+UNSAFE = re.compile("[^\x00-\u012f\u0131-\u024f]")
+
+
+def _plain_letter(c: str) -> bool:
+    return c.isalpha() and not UNSAFE.match(c)
 
 
 class _Numbers(dict):
@@ -51,6 +61,7 @@ class Encoder:
         elif tokens("a b\nc") == ["a</w>", "b</w>", "c</w>"]:
             self.closes = np.array([t.endswith("</w>") for t in texts])
         self.lower = tokens("Ab") == tokens("ab") and self.closes is not None
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def clear(self) -> None:
         self.known = _Numbers()
@@ -59,7 +70,8 @@ class Encoder:
 
     def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number for each word): many are encoded as one text where their borders can be told from the ids."""
-        joined = [k for k, w in enumerate(words) if self.opens is not None or self.closes is not None and w[1:].isalpha()]
+        plain = lambda w: w[1:].isalpha() and not UNSAFE.search(w)
+        joined = [k for k, w in enumerate(words) if self.opens is not None or self.closes is not None and plain(w)]
         alone = sorted({*range(len(words))} - {*joined})
         out: list = [None] * len(words)
         many = ["".join(words[k] for k in joined[a : a + 512]) for a in range(0, len(joined), 512)]
@@ -69,25 +81,27 @@ class Encoder:
         if many:
             ids = np.concatenate([np.array(e.ids, np.uint32) for e in got[: len(many)]])
             edge = np.append(np.flatnonzero(self.opens[ids]), len(ids)) if self.opens is not None else np.append(0, np.flatnonzero(self.closes[ids]) + 1)
-            if len(edge) != len(joined) + 1:
-                raise ValueError("the vocabulary joins words")
-            if not alone:
-                return ids, np.diff(edge)
-            for k, x in zip(joined, np.split(ids, edge[1:-1])):
-                out[k] = x
+            if len(edge) == len(joined) + 1:
+                if not alone:
+                    return ids, np.diff(edge)
+                for k, x in zip(joined, np.split(ids, edge[1:-1])):
+                    out[k] = x
+            else:  # this vocabulary's borders don't tell words: each on its own
+                for k, e in zip(joined, self.tokenizer.encode_batch_fast([words[k] for k in joined], add_special_tokens=False)):
+                    out[k] = np.array(e.ids, np.uint32)
         return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
         """Add pieces; size -1 marks one that doesn't stand between single spaces or line breaks.
 
-        Marks after a letter are split from it in any case, so a piece is its word and its tail of marks.
+        Marks after a plain letter are split from it in any case, so a piece is its word and its tail of marks.
         """
         good, words, ends = [], {}, []
         for k, p in enumerate(pieces):
             inner = p.strip()
             if inner and (inner == p or p[0] == "\n" and len(inner) == len(p) - 1):
                 word = p.rstrip(MARKS)
-                if word[-1:].isalpha():
+                if word and _plain_letter(word[-1]):
                     good.append(k)
                     ends.append((words.setdefault(word, len(words)), p[len(word) :]))
                 else:
@@ -112,11 +126,18 @@ class Encoder:
             self.ids = np.concatenate([self.ids, out])
         self.size, self.start = np.concatenate([self.size, size]), np.concatenate([self.start, start])
 
+    def _lowered(self, t: str) -> str:
+        """The text in lower case where the vocabulary does just that, so that fewer pieces are kept; else as it is."""
+        if UNSAFE.search(t):
+            return t
+        low = t.lower()
+        return t if any(x in low for x in self.special) else low
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > CACHE_PIECES or len(self.tails) > CACHE_PIECES:
             self.clear()
-        if self.lower:  # the vocabulary does so, letter by letter; these two letters lower otherwise in Python
-            texts = [t if "\u03a3" in t or "\u0130" in t else t.lower() for t in texts]
+        if self.lower:
+            texts = [self._lowered(t) for t in texts]
         known = self.known
         split = [t.replace("\n", " \n").split(" ") for t in texts]
         # a first piece follows no space: it goes to the library as it is, with no cache

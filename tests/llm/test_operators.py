@@ -314,6 +314,34 @@ def test_encoder_is_the_library(name, texts):
         assert e.encode([t])[0].tolist() == w
 
 
+ATOMS = (
+    ["İ", "Σ", "ς", "ß", "ẞ", "ı", "ŉ", "ǰ", "J\u030c", "a", "B", "É", "\u0301", "\u0308", "\u0338", "\u0345", "\u0345α", "Å", "K", "Ω", "ﬁ", "ｆｕｌｌ", "Ა", "Ꮿ", "𞤀", "𝒳", "क्षि", "한", "ᄀ", "ᅡ", "ᆨ", "中文", "\U000323b0"]
+    + ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|endof", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u2003", "\u0085", "\x1c", "\x00", "\x7f", "\u200b", "\ufeff", "\u180e"]
+    + ["1", "12", "٣", "Ⅷ", "²", "½", ".", ",", "!!", "|", "*", "#$%&", "<", "=", "'s", "'LL", "don't", "’s", "😀", "👩\u200d👩\u200d👧", "_", "-", "foo", "BAR", "Hello", "über", "ÑANDÚ"]
+)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_is_the_library_on_random_texts(name):
+    r, e = random.Random(11), tokens.Encoder(tokens.vocabulary(name))
+    part = lambda: "".join(r.choice(ATOMS) for _ in range(r.randrange(1, 4))) + r.choice(["", " ", " ", " ", "\n"])
+    for _ in range(10):
+        some = ["".join(part() for _ in range(r.randrange(1, 14))) for _ in range(1000)]
+        flat, size = e.encode(some)
+        cut = np.cumsum(size) - size
+        for t, a, n, w in zip(some, cut.tolist(), size.tolist(), e.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+            assert flat[a : a + n].tolist() == w.ids, t
+
+
+def test_packing_of_letters_with_two_lower_case_characters(spark):
+    plain = tokens.Encoder(tokens.vocabulary("word_bpe_49k.json")).tokenizer
+    rows = [(k, t) for k, t in enumerate(["a İstanbul b", "😀 1İ,", "> <İ&", "x ΑΣ. ΑΣ"])]
+    got = {x.doc_id: x for x in packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        ids = [*plain.encode(t, add_special_tokens=False).ids, 1]
+        assert (got[k].doc_tokens, got[k].ids_crc32) == (len(ids), brute.crc(ids))
+
+
 def test_token_files(spark, docs, texts, empty, odd):
     vocab = tokens.vocabulary("byte_bpe_50k.json")
     plain = tokens.Encoder(vocab).tokenizer

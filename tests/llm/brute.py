@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -83,5 +84,27 @@ def base_places(text):
     return len(w), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))
 
 
+def licence_labels(text, df, n):
+    """(labels, score) by trying every template at every start; df, n: documents with each word, and all."""
+    from strandwork.llm.license_scan import LEAST_SHARE, SHIFT, TEMPLATES
+
+    w = LICENCE_WORD.findall((text or "").translate(LOWER))
+    idf = lambda x: math.log((n + 1) / (df.get(x, 0) + 1)) + 1
+    best, found = 0.0, set()
+    for label, body, phrases in TEMPLATES:
+        body = body.split()
+        weight = [idf(x) for x in body]
+        for s in range(-len(body) - SHIFT, len(w) + SHIFT):
+            near = " " + " ".join(w[max(0, s - SHIFT) : max(0, s + len(body) + SHIFT)]) + " "
+            if not all(f" {p} " in near for p in phrases):
+                continue
+            share = sum(v for i, (x, v) in enumerate(zip(body, weight)) if x in w[max(0, s + i - SHIFT) : max(0, s + i + SHIFT + 1)]) / sum(weight)
+            if share >= LEAST_SHARE:
+                best = max(best, share)
+                found.add(label)
+    base = {x for x in base_places(text)[4].split(",") if x}
+    return ",".join(sorted(found | base)), best or float(bool(base))
+
+
 def crc(ids):
     return zlib.crc32(b"".join(int(i).to_bytes(4, "little") for i in ids))

@@ -239,6 +239,31 @@ def test_license_scan_of_official_notices(spark):
     assert all(0 <= x.score <= 1 for x in got.values()) and got[3].score == 1 and got[100].score == 0
 
 
+def test_license_scan_against_brute_force(spark):
+    """Labels and scores of templates with words dropped, put in or exchanged, shuffled licence words, and whole templates."""
+    r = random.Random(14)
+    vocabulary = sorted({w for _, t, _ in license_scan.TEMPLATES for w in t.split()})
+    rows, wanted = [None, "", "mit", "license mit license mit"], {}
+    for k in range(260):
+        label, body, phrases = license_scan.TEMPLATES[k % len(license_scan.TEMPLATES)]
+        own = body.split()
+        inside = {i for p in phrases for i in range(len(own)) if own[i : i + len(p.split())] == p.split() for i in range(i, i + len(p.split()))}
+        free = [i for i in range(len(own)) if i not in inside]
+        for i in r.sample(free, min(len(free), len(own) // 12 + k % 2)):
+            own[i] = r.choice(["", "word", own[i] + " more", r.choice(vocabulary)])
+        if k % 2 == 0:
+            wanted[len(rows)] = label
+        rows.append(", ".join([words(r, r.randrange(30)), " ".join(own).replace("license", "License"), words(r, r.randrange(30))]))
+    rows += [" ".join(r.choice(vocabulary) for _ in range(r.randrange(200))) for _ in range(60)]
+    rows += [words(r, 40) for _ in range(60)] + [" ".join(t for _, t, _ in license_scan.TEMPLATES)]
+    got = {x.doc_id: x for x in license_scan.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)).collect()}
+    df = Counter(w for t in rows for w in set(brute.LICENCE_WORD.findall((t or "").translate(brute.LOWER))))
+    for k, t in enumerate(rows):
+        labels, score = brute.licence_labels(t, df, len(rows))
+        assert got[k].labels == labels and got[k].score == pytest.approx(score), t
+    assert sum(x in got[k].labels.split(",") for k, x in wanted.items()) >= 0.9 * len(wanted)
+
+
 def test_license_scan_on_documents(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     text = {x.doc_id: x.text for x in d.collect()}

@@ -104,8 +104,9 @@ def write_tokens(docs: DataFrame, uri: str, vocab: str, end_id: int, file_bytes:
     """Write the ids of all texts below ``uri`` in ascending doc_id order; returns the manifest.
 
     Null texts are empty (only the end id); rows without doc_id are left out; rows of repeated doc_ids are
-    all written, by text. A file is written under another name and renamed when whole, so a task that runs twice
-    leaves one file.
+    all written, by text; an empty table gives no file; other columns aren't read. Every attempt of a task writes a file of
+    its own name, and the manifest, which is written once, names those that count; the others are deleted in the
+    end, those of an earlier call with the same ``uri`` too. A name begins with the file's number, so names ascend as doc_ids do.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -125,8 +126,8 @@ def write_tokens(docs: DataFrame, uri: str, vocab: str, end_id: int, file_bytes:
                 if writer is None:
                     fs, folder = _open_dir(uri)
                     fs.create_dir(folder, recursive=True)
-                    name, temporary = f"part-{part:010d}.zst", f"{folder}/.{uuid.uuid4().hex}.tmp"
-                    sink = fs.open_output_stream(temporary)
+                    name = f"part-{part:010d}-{uuid.uuid4().hex}.zst"
+                    sink = fs.open_output_stream(f"{folder}/{name}")
                     writer = Writer(sink)
                 flat, size = tokens.encode(texts[a:b])
                 at = 0
@@ -137,12 +138,19 @@ def write_tokens(docs: DataFrame, uri: str, vocab: str, end_id: int, file_bytes:
         if writer is not None:
             writer.close()
             sink.close()
-            if fs.get_file_info(f"{folder}/{name}").type != pafs.FileType.NotFound:  # of an attempt before; not every file system moves over a file
-                fs.delete_file(f"{folder}/{name}")
-            fs.move(temporary, f"{folder}/{name}")
             yield pa.RecordBatch.from_pydict({"name": [name], "first_doc": pa.array([writer.docs[0]], pa.int64()), "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64())})
 
-    return materialize(rows.mapInArrow(write, MANIFEST), "manifest")
+    manifest = materialize(rows.mapInArrow(write, MANIFEST), "manifest")
+    _delete_others(uri, manifest)
+    return manifest
+
+
+def _delete_others(uri: str, manifest: DataFrame) -> None:
+    """Delete the files below ``uri`` that the manifest doesn't name: attempts that failed or were overtaken."""
+    fs, folder = _open_dir(uri)
+    there = {f.base_name for f in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)) if f.base_name.startswith("part-")}
+    for name in there - {r[0] for r in manifest.select("name").toLocalIterator()}:  # a name a file
+        fs.delete_file(f"{folder}/{name}")
 
 
 def read_tokens(spark: SparkSession, uri: str, manifest: DataFrame) -> DataFrame:

@@ -106,5 +106,18 @@ def licence_labels(text, df, n):
     return ",".join(sorted(found | base)), best or float(bool(base))
 
 
+def fits_whole(sizes, room):
+    """Whether groups of these sizes (largest first) fit whole into the rooms, by trying all ways."""
+    if not sizes:
+        return True
+    for r in sorted(set(room), reverse=True):
+        if r >= sizes[0]:
+            left = list(room)
+            left[left.index(r)] -= sizes[0]
+            if fits_whole(sizes[1:], left):
+                return True
+    return False
+
+
 def crc(ids):
     return zlib.crc32(b"".join(int(i).to_bytes(4, "little") for i in ids))

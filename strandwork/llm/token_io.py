@@ -127,7 +127,7 @@ def write_tokens(docs: DataFrame, uri: str, vocab: str, end_id: int, file_bytes:
                     fs, folder = _open_dir(uri)
                     fs.create_dir(folder, recursive=True)
                     name = f"part-{part:010d}-{uuid.uuid4().hex}.zst"
-                    sink = fs.open_output_stream(f"{folder}/{name}")
+                    sink = fs.open_output_stream(f"{folder}/{name}", compression=None)  # as it is, whatever the name ends with
                     writer = Writer(sink)
                 flat, size = tokens.encode(texts[a:b])
                 at = 0

@@ -19,14 +19,14 @@ from strandwork.schema import id_column
 from strandwork.session import materialize, ship_package
 from strandwork.sources import configs, js_facts, python_facts
 from strandwork.sources.listing import ScanOptions, scan
-from strandwork.sources.python_facts import FACTS, MODEL_BASES
+from strandwork.sources.python_facts import FACTS, MODEL_BASES, SOURCE_ID, TARGET_ID
 
 MANIFEST = "path string, kind string, rank int, sha256 string, mtime double"
 _COLUMNS = [x.split()[0] for x in FACTS.split(", ")]
 
 
-def sources_table(spark: SparkSession, options: ScanOptions) -> tuple[DataFrame, list[tuple[str, str, str, int]]]:
-    """(path, kind, rank, content) of every listed file, read by the workers from the shared tree; and the listing's warnings."""
+def sources_table(spark: SparkSession, options: ScanOptions) -> tuple[DataFrame, list[tuple[str, str]], list[tuple[str, str, str, int]]]:
+    """(path, kind, rank, content) of every listed file, read by the workers from the shared tree; the listing and its warnings."""
     files, warnings = scan(options)
     ship_package(spark)
     root = os.path.realpath(options.root)
@@ -39,12 +39,16 @@ def sources_table(spark: SparkSession, options: ScanOptions) -> tuple[DataFrame,
             content, mtime = [], []
             for p in f["path"]:
                 full = os.path.join(root, p)
-                with open(full, "rb") as x:
-                    content.append(x.read())
-                mtime.append(os.path.getmtime(full))
+                try:
+                    with open(full, "rb") as x:
+                        text, time = x.read(), os.path.getmtime(full)
+                except OSError:  # becomes a warning
+                    text, time = None, 0.0
+                content.append(text)
+                mtime.append(time)
             yield f.assign(content=content, mtime=mtime)
 
-    return listed.mapInPandas(read, "path string, kind string, rank int, content binary, mtime double"), warnings
+    return listed.mapInPandas(read, "path string, kind string, rank int, content binary, mtime double"), files, warnings
 
 
 def extract(sources: DataFrame, added=()) -> DataFrame:
@@ -58,7 +62,8 @@ def extract(sources: DataFrame, added=()) -> DataFrame:
         for f in frames:
             rows = []
             for path, kind, rank, content in zip(f["path"], f["kind"], f["rank"], f["content"]):
-                rows += python_facts.file_facts(path, int(rank), bytes(content), added) if kind == "python" else js_facts.file_facts(path, int(rank), bytes(content))
+                content = None if content is None else bytes(content)
+                rows += python_facts.file_facts(path, int(rank), content, added) if kind == "python" else js_facts.file_facts(path, int(rank), content)
             out = pd.DataFrame(rows, columns=_COLUMNS)
             for c in ("line_number", "certainty", "stage", "file", "n"):
                 out[c] = out[c].astype("Int32")
@@ -73,8 +78,7 @@ def resolved(facts: DataFrame) -> DataFrame:
     parts = F.split("m", r"\.")
     packages = modules.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))).alias("p")).distinct()
     classes = facts.where("kind = 'node' and type = 'CLASS' and stage = 1 and file_path is not null").groupBy(F.col("name").alias("c")).agg(F.max_by("qualified_name", F.struct("file", "n")).alias("found"))
-    bases = facts.where("kind = 'base'").select("name").unionByName(facts.where("kind = 'node' and ref = 'base' and type = 'SQLALCHEMY_MODEL' and prefix = 'model'").where(F.arrays_overlap("keys", F.array(*[F.lit(b) for b in MODEL_BASES]))).select("name"))
-    bases = bases.unionByName(facts.sparkSession.createDataFrame([(b,) for b in MODEL_BASES], "name string")).distinct().withColumnRenamed("name", "b")
+    bases = facts.where("kind = 'base'").select("name").unionByName(facts.sparkSession.createDataFrame([(b,) for b in MODEL_BASES], "name string")).distinct().withColumnRenamed("name", "b")
     key = F.col("keys")[0]
     f = facts.where("kind <> 'base'").withColumn("k", key).withColumn("top", F.split("k", r"\.")[0])
     f = f.join(modules.withColumn("is_module", F.lit(True)), F.col("k") == F.col("m"), "left").drop("m")
@@ -102,17 +106,21 @@ def _ids(prefix: str, name: str):
 def emissions(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(node emissions, edge emissions, warnings) of settled facts; seq orders them as one pass over the files would."""
     seq = (F.col("stage").cast("long") * (1 << 50) + F.col("file").cast("long") * (1 << 24) + F.col("n").cast("long") * 2).alias("seq")
+    # an endpoint's identity joins its parts by bars; its name is what is shown
+    qualified = F.when(F.col("type").isin("ENDPOINT", "EXTERNAL_ENDPOINT"), F.col("display_name")).otherwise(F.col("qualified_name")).alias("qualified_name")
     nodes = facts.where("kind = 'node'").select(
-        _ids("prefix", "qualified_name").alias("id"), "type", "name", "qualified_name", "display_name", "file_path", "line_number", F.lit(None).cast("int").alias("column"), "certainty", F.col("meta").alias("metadata"), seq
+        _ids("prefix", "qualified_name").alias("id"), "type", "name", qualified, "display_name", "file_path", "line_number", F.lit(None).cast("int").alias("column"), "certainty", F.col("meta").alias("metadata"), seq
     )
     edges = facts.where("kind = 'edge'")
     # import targets, dependencies and annotations are nodes too
     ends = edges.where("ref in ('module', 'relative', 'class', 'known class')").select(
         _ids("prefix", "qualified_name").alias("id"), F.when(F.col("prefix") == "mod", "MODULE").when(F.col("prefix") == "extmod", "EXTERNAL_MODULE").otherwise("FUNCTION").alias("type"), F.element_at(F.split("qualified_name", "::"), -1).alias("name"),
-        "qualified_name", F.element_at(F.split("qualified_name", "::"), -1).alias("display_name"), F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("int").alias("line_number"), F.lit(None).cast("int").alias("column"), "certainty",
+        "qualified_name", F.col("qualified_name").alias("display_name"), F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("int").alias("line_number"), F.lit(None).cast("int").alias("column"), "certainty",
         F.create_map().cast("map<string,string>").alias("metadata"), (seq + 1).alias("seq"),
     )
-    out = edges.select(_ids("source_prefix", "source").alias("source_id"), _ids("prefix", "qualified_name").alias("target_id"), "type", F.lit(None).cast("string").alias("display_name"), "file_path", "line_number", "certainty", F.col("meta").alias("metadata"), seq)
+    from_, to = _ids("source_prefix", "source"), _ids("prefix", "qualified_name")
+    shown = F.replace(F.replace("display_name", F.lit(SOURCE_ID), from_), F.lit(TARGET_ID), to).alias("display_name")
+    out = edges.select(from_.alias("source_id"), to.alias("target_id"), "type", shown, "file_path", "line_number", "certainty", F.col("meta").alias("metadata"), seq)
     warnings = facts.where("kind = 'warning'").select(F.col("type").alias("code"), F.col("name").alias("message"), F.col("file_path").alias("path"), "certainty")
     return nodes.unionByName(ends), out, warnings
 
@@ -124,14 +132,20 @@ def _with_topology(spark, nodes: DataFrame, edges: DataFrame, services: list[dic
     s = s.withColumn("id", F.concat(F.when(F.col("type") == "SERVICE", "svc").otherwise("comp"), F.lit(":"), F.substring(F.sha2("name", 256), 1, 16)))
     files = nodes.where("file_path is not null and type not in ('SERVICE', 'COMPONENT')").select(F.col("file_path").alias("path")).distinct()
     place = longest_directory(files, s.where("dir is not null and dir <> ''").select("dir", F.col("id").alias("service")))
-    member = nodes.join(place, nodes.file_path == place.path).select("id", "service", "file_path")
+    whole = next((x["id"] for x in s.where("dir = ''").select("id").collect()), None)  # the service of the root holds what no other does
+    if whole:
+        place = files.join(place, "path", "left").withColumn("service", F.coalesce("service", F.lit(whole)))
+    member = nodes.join(place, nodes.file_path == place.path).select("id", "service", "file_path", "type", F.col("display_name").alias("shown"))
     names = s.select(F.col("id").alias("service"), "name")
-    belongs = member.select(F.col("id").alias("source_id"), F.col("service").alias("target_id"), F.lit("BELONGS_TO_SERVICE").alias("type"), F.lit(None).cast("string").alias("display_name"), "file_path", F.lit(None).cast("int").alias("line_number"), F.lit(3).alias("certainty"), F.create_map().cast("map<string,string>").alias("metadata"))
-    cross = crossings(edges, member.select("id", "service")).join(names.select(F.col("service").alias("source_service"), F.col("name").alias("a")), "source_service").join(names.select(F.col("service").alias("target_service"), F.col("name").alias("b")), "target_service")
-    cross = cross.select("source_id", "target_id", F.lit("CROSSES_COMPONENT_BOUNDARY").alias("type"), F.lit(None).cast("string").alias("display_name"), "file_path", "line_number", "certainty", F.create_map(F.lit("from_service"), "a", F.lit("to_service"), "b").alias("metadata"), F.col("id").alias("first"))
+    belongs = member.where("type in ('MODULE', 'PACKAGE')").join(names, "service")
+    belongs = belongs.select(F.col("id").alias("source_id"), F.col("service").alias("target_id"), F.lit("BELONGS_TO_SERVICE").alias("type"), F.concat("shown", F.lit(" belongs to "), "name").alias("display_name"), "file_path", F.lit(None).cast("int").alias("line_number"), F.lit(3).alias("certainty"), F.create_map().cast("map<string,string>").alias("metadata"))
+    ends = lambda side: nodes.select(F.col("id").alias(f"{side}_id"), F.col("display_name").alias(f"{side}_shown"))
+    cross = crossings(edges, member.select("id", "service")).join(ends("source"), "source_id").join(ends("target"), "target_id")
+    cross = cross.join(names.select(F.col("service").alias("source_service"), F.col("name").alias("a")), "source_service").join(names.select(F.col("service").alias("target_service"), F.col("name").alias("b")), "target_service")
+    cross = cross.select("source_id", "target_id", F.lit("CROSSES_COMPONENT_BOUNDARY").alias("type"), F.concat("source_shown", F.lit(" -> "), "target_shown", F.lit(" [cross-boundary: "), "a", F.lit(" -> "), "b", F.lit("]")).alias("display_name"), "file_path", "line_number", "certainty", F.create_map(F.lit("from_service"), "a", F.lit("to_service"), "b").alias("metadata"), F.col("id").alias("first"))
     cross = cross.dropDuplicates(["source_id", "target_id"]).drop("first")
-    ends = nodes.where("type = 'ENDPOINT'").join(member.select("id", "service"), "id").groupBy("service").agg(F.to_json(F.sort_array(F.collect_set("display_name"))).alias("endpoints"))
-    s = s.join(ends, s.id == ends.service, "left").withColumn("metadata", F.map_concat("metadata", F.create_map(F.lit("endpoints"), F.coalesce("endpoints", F.lit("[]")))))
+    served = nodes.where("type = 'ENDPOINT'").join(member.select("id", "service"), "id").groupBy("service").agg(F.to_json(F.sort_array(F.collect_set("display_name"))).alias("endpoints"))
+    s = s.join(served, s.id == served.service, "left").withColumn("metadata", F.map_concat("metadata", F.create_map(F.lit("endpoints"), F.coalesce("endpoints", F.lit("[]")))))
     s = s.select("id", "type", "name", F.col("name").alias("qualified_name"), F.col("name").alias("display_name"), "file_path", F.lit(None).cast("int").alias("line_number"), F.lit(None).cast("int").alias("column"), "certainty", "metadata", F.lit(0).cast("long").alias("seq"))
     more = belongs.unionByName(cross).withColumn("seq", F.lit(0).cast("long"))
     return nodes.unionByName(merge_nodes(s)), edges.unionByName(merge_edges(more))
@@ -141,9 +155,12 @@ def _with_stitches(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Calls from JavaScript to endpoints of the same path."""
     js = nodes.where("type = 'EXTERNAL_ENDPOINT' and element_at(metadata, 'source') = 'js'").select(F.col("id").alias("called"), F.element_at("metadata", "url").alias("url")).where("url <> '<dynamic>'")
     ends = nodes.where("type = 'ENDPOINT'").select(F.col("id").alias("target_id"), F.element_at("metadata", "path").alias("path"))
-    calls = edges.where("type = 'CALLS_HTTP'").select("source_id", F.col("target_id").alias("called"), "file_path", "line_number")
-    new = stitch(js, ends).join(calls, "called").groupBy("source_id", "target_id").agg(F.min("file_path").alias("file_path"), F.min("line_number").alias("line_number"))
-    new = new.select("source_id", "target_id", F.lit("CALLS_HTTP").alias("type"), F.lit(None).cast("string").alias("display_name"), "file_path", "line_number", F.lit(2).alias("certainty"), F.create_map(F.lit("stitched"), F.lit("true")).alias("metadata"), F.lit(0).cast("long").alias("seq"))
+    calls = edges.where("type = 'CALLS_HTTP'").select("source_id", F.col("target_id").alias("called"), F.col("display_name").alias("shown"), "file_path", "line_number")
+    new = stitch(js, ends).join(calls, "called").groupBy("source_id", "target_id").agg(F.min(F.struct("called", "url", "shown", "file_path", "line_number")).alias("x"))
+    new = new.select(
+        "source_id", "target_id", F.lit("CALLS_HTTP").alias("type"), F.concat("x.shown", F.lit(" [cross-language]")).alias("display_name"), "x.file_path", "x.line_number", F.lit(2).alias("certainty"),
+        F.create_map(F.lit("stitched"), F.lit("true"), F.lit("url"), "x.url").alias("metadata"), F.lit(0).cast("long").alias("seq"),
+    )
     return edges.unionByName(merge_edges(new))
 
 
@@ -161,8 +178,7 @@ def assemble(facts: DataFrame, services: list[dict] | None = None, listing_warni
 
 def build(spark: SparkSession, options: ScanOptions, added=()) -> Graph:
     """Scan a tree from scratch. ``added``: see ``extract``."""
-    sources, warnings = sources_table(spark, options)
-    files, _ = scan(options)
+    sources, files, warnings = sources_table(spark, options)
     facts = materialize(extract(sources, added), "facts")
     g = assemble(facts, configs.topology(os.path.realpath(options.root), [p for p, k in files if k == "config"]), warnings)
     g.metadata = {"root_path": os.path.realpath(options.root), "total_files": len(files)}

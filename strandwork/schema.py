@@ -8,11 +8,13 @@ from pyspark.sql import Column, functions as F, types as T
 
 # fixed values
 NODE_TYPES = (
-    "MODULE PACKAGE CLASS FUNCTION METHOD VARIABLE ENDPOINT DECORATOR SQLALCHEMY_MODEL TABLE EXTERNAL_MODULE EXTERNAL_SERVICE EXTERNAL_ENDPOINT SERVICE COMPONENT JS_MODULE JS_FUNCTION JS_COMPONENT"
-).split()
+    "MODULE", "PACKAGE", "CLASS", "FUNCTION", "METHOD", "ENDPOINT", "VARIABLE", "DECORATOR", "SQLALCHEMY_MODEL", "TABLE", "EXTERNAL_MODULE", "EXTERNAL_SERVICE", "EXTERNAL_ENDPOINT", "SERVICE", "COMPONENT",
+    "JS_MODULE", "JS_FUNCTION", "JS_COMPONENT",
+)
 EDGE_TYPES = (
-    "IMPORTS IMPORTS_FROM CALLS RETURNS INHERITS IMPLEMENTS CONTAINS DECORATES EXPOSES_ENDPOINT INJECTS_DEPENDENCY CALLS_HTTP DEFINES_MODEL HAS_COLUMN FOREIGN_KEY TYPE_ANNOTATED CROSSES_COMPONENT_BOUNDARY BELONGS_TO_SERVICE AMBIGUOUS"
-).split()
+    "IMPORTS", "IMPORTS_FROM", "CALLS", "RETURNS", "INHERITS", "IMPLEMENTS", "CONTAINS", "DECORATES", "EXPOSES_ENDPOINT", "INJECTS_DEPENDENCY", "CALLS_HTTP", "DEFINES_MODEL", "HAS_COLUMN", "FOREIGN_KEY",
+    "TYPE_ANNOTATED", "CROSSES_COMPONENT_BOUNDARY", "BELONGS_TO_SERVICE", "AMBIGUOUS",
+)
 UNRESOLVED, AMBIGUOUS, INFERRED, EXACT = range(4)
 CERTAINTY_NAMES = ("UNRESOLVED", "AMBIGUOUS", "INFERRED", "EXACT")
 

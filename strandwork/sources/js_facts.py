@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 UNKNOWN = "<dynamic>"
-AXIOS_VERBS = "get post put delete patch head options".split()
+AXIOS_VERBS = ("get", "post", "put", "delete", "patch", "head", "options", "request")
 STAGES = {"imports": 10, "functions": 11, "http": 12}
 
 _TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`", re.S)
@@ -72,21 +72,21 @@ class File:
         self.out.append(base | {"stage": self.stage, "file": self.rank, "file_path": self.path, "certainty": 3, "meta": {}} | f)
 
     def _node(self, prefix, type_, q, line=None, **more) -> None:
-        name = q.split("::")[-1]
-        self._add(**{"kind": "node", "prefix": prefix, "type": type_, "name": name, "qualified_name": q, "display_name": name, "line_number": line} | more)
+        name = q.split("::" if "::" in q else ".")[-1]
+        self._add(**{"kind": "node", "prefix": prefix, "type": type_, "name": name, "qualified_name": q, "display_name": q, "line_number": line} | more)
 
-    def _edge(self, source, type_, target, line, **more) -> None:
-        self._add(**{"kind": "edge", "source_prefix": source[0], "source": source[1], "type": type_, "prefix": target[0], "qualified_name": target[1], "line_number": line} | more)
+    def _edge(self, source, type_, target, line, shown, **more) -> None:
+        self._add(**{"kind": "edge", "source_prefix": source[0], "source": source[1], "type": type_, "prefix": target[0], "qualified_name": target[1], "display_name": shown, "line_number": line} | more)
 
     def imports(self) -> None:
-        self._node("jsmod", "JS_MODULE", self.module, 1)
+        self._node("jsmod", "JS_MODULE", self.module)
         for m in _IMPORT.finditer(self.text):
             target, own = resolve_specifier(self._string(m[3] or m[4]), self.module)
             certainty = 3 if own else 2
             named = "{" in (m[2] or "") or "*" in (m[2] or "")
-            meta = {"names": ", ".join(re.findall(r"[\w$]+(?=\s*(?:,|}|$|\bas\b))", m[2].strip("{} ")))} if named and m[2] else {}
-            self._node("jsmod", "JS_MODULE", target, None, certainty=certainty, file_path=None)
-            self._edge(("jsmod", self.module), "IMPORTS_FROM" if named else "IMPORTS", ("jsmod", target), self._line(m.start()), certainty=certainty, meta=meta)
+            self._node("jsmod", "JS_MODULE", target, certainty=certainty, file_path=None)
+            shown = f"{self.module} -> {target}" if m[3] else f"{self.module} requires {target}"
+            self._edge(("jsmod", self.module), "IMPORTS_FROM" if named else "IMPORTS", ("jsmod", target), self._line(m.start()), shown, certainty=certainty)
 
     def _body(self, at: int) -> tuple[int, int]:
         """The braces that follow, or the rest of the line."""
@@ -122,10 +122,10 @@ class File:
         for m in _FUNCTION.finditer(self.text):
             name = m[1] or m[2] or m[3]
             q = f"{self.module}::{name}"
-            names.setdefault(name, q)
+            names[name] = q
             line = self._line(m.start())
             self._node("jsfunc", "JS_COMPONENT" if name[0].isupper() else "JS_FUNCTION", q, line)
-            self._edge(me, "CONTAINS", ("jsfunc", q), line)
+            self._edge(me, "CONTAINS", ("jsfunc", q), line, f"{self.module} contains {name}")
             # a parameter list may hold braces: the body begins after it
             a, b = self._body(m.end() if m[3] or not m[1] else self.text.find(")", m.end()))
             if m[3]:
@@ -133,16 +133,14 @@ class File:
                     if x[1] not in _KEYWORDS:
                         mq = f"{q}::{x[1]}"
                         self._node("jsfunc", "JS_FUNCTION", mq, self._line(x.start(1)))
-                        self._edge(("jsfunc", q), "CONTAINS", ("jsfunc", mq), self._line(x.start(1)))
+                        self._edge(("jsfunc", q), "CONTAINS", ("jsfunc", mq), self._line(x.start(1)), f"{q} contains {x[1]}")
                         self.spans.append((x.start(1), self._body(x.end() - 1)[1], mq))
             else:
                 self.spans.append((m.start(), b, q))
-        done = set()
         for m in _CALL.finditer(self.text):
             before = self.text[max(0, m.start() - 12) : m.start()].rstrip()
-            if m[1] in names and m[1] not in done and not before.endswith("function"):
-                done.add(m[1])
-                self._edge(me, "CALLS", ("jsfunc", names[m[1]]), self._line(m.start()), certainty=2)
+            if m[1] in names and not before.endswith("function"):
+                self._edge(me, "CALLS", ("jsfunc", names[m[1]]), self._line(m.start()), f"{self.module} calls {names[m[1]]}", certainty=2)
 
     def http(self) -> None:
         for m in _HTTP.finditer(self.text):
@@ -152,7 +150,9 @@ class File:
             if m[1].startswith("axios"):
                 if verb and verb not in AXIOS_VERBS:
                     continue
-                method = (verb or "get").upper()
+                method = "GET" if verb in (None, "request") else verb.upper()
+                if not verb and not self.text.startswith("{", at):
+                    continue
             s = _FIRST.match(self.text, at) or _SECOND.match(self.text, at)
             if not s and self.text.startswith("{", at):
                 rest = self._own(at)
@@ -163,16 +163,19 @@ class File:
                 s = _LISTED.match(self.text, at)
             url = self._string(s[1]) if s else UNKNOWN
             inner = [x for x in self.spans if x[0] <= m.start() < x[1]]
-            caller = ("jsfunc", max(inner)[2]) if inner else ("jsmod", self.module)
-            certainty = 3 if url != UNKNOWN else 1
-            name = f"{method} {url}"
-            self._add(kind="node", prefix="js_ext_endpoint", type="EXTERNAL_ENDPOINT", name=name, qualified_name=f"{method}|{url}", display_name=name, certainty=certainty, file_path=None, meta={"http_method": method, "url": url, "source": "js"})
-            self._edge(caller, "CALLS_HTTP", ("js_ext_endpoint", f"{method}|{url}"), self._line(m.start()), certainty=certainty, meta={"url": url})
+            caller = max(inner)[2] if inner else f"{self.module}::<module>"
+            certainty, line, name = 3 if url != UNKNOWN else 1, self._line(m.start()), f"{method} {url}"
+            self._add(kind="node", prefix="js_ext_endpoint", type="EXTERNAL_ENDPOINT", name=name, qualified_name=f"{method}|{url}", display_name=name, line_number=line, certainty=certainty, file_path=None, meta={"http_method": method, "url": url, "source": "js"})
+            self._node("jsfunc", "JS_FUNCTION", caller)
+            self._edge(("jsfunc", caller), "CALLS_HTTP", ("js_ext_endpoint", f"{method}|{url}"), line, f"{caller} calls {name}", certainty=certainty, meta={"url": url, "http_method": method})
 
 
-def file_facts(path: str, rank: int, source: bytes) -> list[dict]:
+def file_facts(path: str, rank: int, source: bytes | None) -> list[dict]:
+    """Facts of a file, or one warning where it can't be read (``source`` is None) or decoded."""
     try:
+        if source is None:
+            raise OSError(f"cannot read {path}")
         return File(path, rank, source).facts()
-    except (UnicodeDecodeError, ValueError) as e:
+    except (OSError, ValueError) as e:
         base = dict.fromkeys("kind prefix type name qualified_name display_name source_prefix source line_number ref keys".split())
-        return [base | {"kind": "warning", "stage": 10, "file": rank, "n": 0, "type": "JS_PARSE_ERROR", "name": str(e), "file_path": path, "certainty": 0, "meta": {}}]
+        return [base | {"kind": "warning", "stage": 10, "file": rank, "n": 0, "type": "IO_ERROR" if isinstance(e, OSError) else "JS_PARSE_ERROR", "name": str(e), "file_path": path, "certainty": 0, "meta": {}}]

@@ -13,12 +13,16 @@ from collections.abc import Iterator
 
 # fixed values
 HTTP_VERBS = ("get", "post", "put", "delete", "patch", "options", "head", "trace")
-TYPE_WRAPPERS = "Optional Union List list Set set Dict dict Tuple tuple Sequence Iterable Iterator Generator Awaitable Annotated ClassVar Final Mapped".split()
+TYPE_WRAPPERS = (
+    "Optional", "Union", "List", "list", "Set", "set", "Dict", "dict", "Tuple", "tuple", "Sequence", "Iterable", "Iterator", "Generator", "Awaitable", "Annotated", "ClassVar", "Final", "Mapped",
+)
 MODEL_BASES = ("Base", "DeclarativeBase", "DeclarativeBaseNoMeta", "MappedAsDataclass")
 INTERFACES = ("ABC", "ABCMeta", "Protocol")
 RELATIONS = ("ForeignKey", "OneToOneField", "ManyToManyField")
-EXTRACTORS = "imports classes calls fastapi flask django sqlalchemy http annotations".split()
+CLIENTS, SESSIONS = ("requests", "httpx"), ("Session", "Client", "AsyncClient")
+EXTRACTORS = ("imports", "classes", "calls", "fastapi", "flask", "django", "sqlalchemy", "http", "annotations")
 UNKNOWN = "<dynamic>"
+SOURCE_ID, TARGET_ID = "\x01", "\x02"  # in an edge's display name: stand for its ends' ids
 ADDED_STAGE = 64  # of the first extractor that a caller adds
 
 FACTS = "kind string, stage int, file int, n int, prefix string, type string, name string, qualified_name string, display_name string, source_prefix string, source string, file_path string, line_number int, certainty int, meta map<string,string>, ref string, keys array<string>"
@@ -31,11 +35,9 @@ def module_name(path: str) -> str:
 
 
 def relative_target(module: str | None, level: int, importer: str) -> str | None:
-    """What a relative import means: the importer's name without its last ``level`` parts, then the module."""
-    parts = importer.split(".") if importer else []
-    if level > len(parts):
-        return None
-    return ".".join([*parts[: len(parts) - level], *([module] if module else [])]) or None
+    """What a relative import means: the importer's name without its last ``level`` parts (or as many as it has), then the module."""
+    parts = importer.split(".")
+    return ".".join([*parts[: max(0, len(parts) - level)], *([module] if module else [])]) or None
 
 
 def text_of(node: ast.AST | None) -> str | None:
@@ -56,21 +58,27 @@ def last_name(node: ast.AST | None) -> str | None:
 
 
 class Scope:
-    """Names that a module binds: what it defines and what it imports."""
+    """Names that a module binds anywhere in it: what it defines, the modules it imports and the names it imports from them."""
 
     def __init__(self, tree: ast.Module, module: str) -> None:
         self.local: dict[str, str] = {}
+        self.classes: dict[str, str] = {}
         self.alias: dict[str, str] = {}
-        self.imported: dict[str, str] = {}
+        self.imported: dict[str, tuple[str, str]] = {}
         for n in ast.walk(tree):
             if isinstance(n, ast.Import):
-                for a in n.names:
-                    self.alias[a.asname or a.name.split(".")[0]] = a.name if a.asname else a.name.split(".")[0]
+                self.alias |= {a.asname or a.name.split(".")[0]: a.name for a in n.names}
             elif isinstance(n, ast.ImportFrom):
-                for a in n.names:
-                    self.imported[a.asname or a.name] = f"{n.module or ''}::{a.name}"
+                self.imported |= {a.asname or a.name: (n.module or "", a.name) for a in n.names}
             elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 self.local[n.name] = f"{module}::{n.name}"
+                if isinstance(n, ast.ClassDef):
+                    self.classes[n.name] = self.local[n.name]
+
+    def from_module(self, name: str) -> str | None:
+        """module::name of a name that is imported from a module that is named."""
+        module, own = self.imported.get(name, ("", ""))
+        return f"{module}::{own}" if module else None
 
 
 class File:
@@ -98,13 +106,13 @@ class File:
         base = dict.fromkeys("kind prefix type name qualified_name display_name source_prefix source line_number ref keys".split())
         self.out.append(base | {"stage": self.stage, "file": self.rank, "file_path": self.path, "certainty": 3, "meta": {}} | f)
 
-    def node(self, prefix, type_, qualified, line=None, certainty=3, own_file=True, name=None, **meta) -> None:
+    def node(self, prefix, type_, qualified, line=None, certainty=3, own_file=True, name=None, shown=None, **meta) -> None:
         name = name or qualified.split("::")[-1]
-        self._add(kind="node", prefix=prefix, type=type_, name=name, qualified_name=qualified, display_name=name, line_number=line, certainty=certainty, file_path=self.path if own_file else None, meta=meta)
+        self._add(kind="node", prefix=prefix, type=type_, name=name, qualified_name=qualified, display_name=shown or qualified, line_number=line, certainty=certainty, file_path=self.path if own_file else None, meta=meta)
 
-    def edge(self, source, type_, target, line=None, certainty=3, ref=None, keys=None, target_type=None, **meta) -> None:
+    def edge(self, source, type_, target, line=None, certainty=3, shown=None, ref=None, keys=None, **meta) -> None:
         """source and target: (prefix, qualified name)."""
-        self._add(kind="edge", source_prefix=source[0], source=source[1], type=type_, prefix=target[0], qualified_name=target[1], name=target_type, line_number=line, certainty=certainty, ref=ref, keys=keys, meta=meta)
+        self._add(kind="edge", source_prefix=source[0], source=source[1], type=type_, prefix=target[0], qualified_name=target[1], display_name=shown, line_number=line, certainty=certainty, ref=ref, keys=keys, meta=meta)
 
     def warn(self, code: str, message: str, line: int) -> None:
         self._add(kind="warning", type=code, name=message, line_number=line, certainty=0)
@@ -113,31 +121,30 @@ class File:
 
     def imports(self) -> None:
         me = ("mod", self.module)
-        self.node("mod", "MODULE", self.module, 1, name=self.module)
-        dynamic_lines = set()
-        loader = {a for a, m in self.scope.alias.items() if m == "importlib"}
+        self.node("mod", "MODULE", self.module, name=self.module)
         for n in ast.walk(self.tree):
             if isinstance(n, ast.Import):
                 for a in n.names:
-                    self.edge(me, "IMPORTS", ("?", a.name), n.lineno, ref="module", keys=[a.name])
+                    self.edge(me, "IMPORTS", ("?", a.name), n.lineno, shown=f"{SOURCE_ID} imports {a.name}", ref="module", keys=[a.name])
             elif isinstance(n, ast.ImportFrom):
+                target = relative_target(n.module, n.level, self.module) if n.level else n.module
+                if target is None:
+                    self.warn("UNRESOLVABLE_RELATIVE_IMPORT", f"level {n.level} in {self.module}", n.lineno)
+                    continue
                 names = ", ".join(a.name for a in n.names)
-                if n.level:
-                    target = relative_target(n.module, n.level, self.module)
-                    if target is None:
-                        self.warn("UNRESOLVABLE_RELATIVE_IMPORT", f"level {n.level} in {self.module}", n.lineno)
-                        continue
-                    self.edge(me, "IMPORTS_FROM", ("mod", target), n.lineno, ref="relative", keys=[target], names=names)
-                else:
-                    self.edge(me, "IMPORTS_FROM", ("?", n.module), n.lineno, ref="module", keys=[n.module], names=names)
-            elif isinstance(n, ast.Call) and n.lineno not in dynamic_lines:
-                f = dotted(n.func) or ""
-                how = "__import__" if f == "__import__" else "importlib.import_module" if f.endswith(".import_module") and f.split(".")[0] in loader or self.scope.imported.get(f) == "importlib::import_module" else None
-                if how:
-                    dynamic_lines.add(n.lineno)
-                    self.node("extmod", "EXTERNAL_MODULE", f"{UNKNOWN}::<unknown>", certainty=0, own_file=False)
-                    self.edge(me, "IMPORTS", ("extmod", f"{UNKNOWN}::<unknown>"), n.lineno, 0, dynamic="true", pattern=how)
-                    self.warn("DYNAMIC_IMPORT", f"{how} in {self.module}", n.lineno)
+                self.edge(me, "IMPORTS_FROM", ("mod" if n.level else "?", target), n.lineno, shown=f"{SOURCE_ID} imports from {target}", ref="relative" if n.level else "module", keys=[target], names=names)
+        loaders = {f"{a}.import_module" for a, m in self.scope.alias.items() if m == "importlib"}
+        hidden, lines = f"{UNKNOWN}::<unknown>", set()
+        for n in ast.walk(self.tree):
+            if not isinstance(n, ast.Call) or n.lineno in lines:
+                continue
+            f = dotted(n.func)
+            how = f if f == "__import__" else "importlib.import_module" if f in loaders else None
+            if how:
+                lines.add(n.lineno)
+                self.node("extmod", "EXTERNAL_MODULE", hidden, certainty=0, own_file=False, shown="<dynamic import>")
+                self.edge(me, "IMPORTS", ("extmod", hidden), n.lineno, 0, shown=f"{SOURCE_ID} dynamically imports unknown module", dynamic="true", pattern=how)
+                self.warn("DYNAMIC_IMPORT", f"{how} in {self.module}", n.lineno)
 
     # -- classes
 
@@ -145,20 +152,16 @@ class File:
         self._class_body(self.tree.body, ("mod", self.module), self.module)
 
     def _base(self, b: ast.AST) -> tuple[str, int]:
-        name = dotted(b)
-        if name is None:
-            return "<complex_base>", 1
-        head, _, rest = name.partition(".")
-        if not rest:
-            if isinstance(self._definition(name), ast.ClassDef):
-                return f"{self.module}::{name}", 3
-            if name in self.scope.imported:
-                return self.scope.imported[name], 2
-            return (f"<builtins>::{name}" if name in dir(__import__("builtins")) else f"<unknown>::{name}"), 1
-        return (f"{self.scope.alias[head]}::{rest}", 2) if head in self.scope.alias else (f"<unknown>::{name}", 1)
-
-    def _definition(self, name: str) -> ast.AST | None:
-        return next((s for s in ast.walk(self.tree) if isinstance(s, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)) and s.name == name), None)
+        if isinstance(b, ast.Name):
+            if b.id in self.scope.classes:
+                return self.scope.classes[b.id], 3
+            if b.id in self.scope.imported:
+                return self.scope.from_module(b.id) or self.scope.imported[b.id][1], 2
+            return f"<builtins>::{b.id}", 1
+        if isinstance(b, ast.Attribute):
+            module = self.scope.alias.get(b.value.id) if isinstance(b.value, ast.Name) else None
+            return (f"{module}::{b.attr}", 2) if module else (f"<unknown>::{b.attr}", 1)
+        return "<complex_base>", 1
 
     def _class_body(self, body, parent, prefix) -> None:
         for s in body:
@@ -166,16 +169,16 @@ class File:
                 continue
             q = f"{prefix}::{s.name}"
             self.node("func", "CLASS", q, s.lineno)
-            self.edge(parent, "CONTAINS", ("func", q), s.lineno)
+            self.edge(parent, "CONTAINS", ("func", q), s.lineno, shown=f"{SOURCE_ID} contains {q}")
             for b in s.bases:
                 target, certainty = self._base(b)
-                kind = "IMPLEMENTS" if (last_name(b) or "") in INTERFACES else "INHERITS"
+                kind = "IMPLEMENTS" if target.split("::")[-1] in INTERFACES else "INHERITS"
                 self.node("func", "CLASS", target, certainty=certainty, own_file=False)
-                self.edge(("func", q), kind, ("func", target), s.lineno, certainty)
+                self.edge(("func", q), kind, ("func", target), s.lineno, certainty, shown=f"{q} {kind.lower()} {target}")
             for m in s.body:
                 if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                    self.node("func", "METHOD", f"{q}::{m.name}", m.lineno, **({"async": "true"} if isinstance(m, ast.AsyncFunctionDef) else {}))
-                    self.edge(("func", q), "CONTAINS", ("func", f"{q}::{m.name}"), m.lineno)
+                    self.node("func", "METHOD", f"{q}::{m.name}", m.lineno)
+                    self.edge(("func", q), "CONTAINS", ("func", f"{q}::{m.name}"), m.lineno, shown=f"{q} contains {q}::{m.name}")
             self._class_body(s.body, ("func", q), q)
 
     # -- calls and decorators
@@ -184,131 +187,145 @@ class File:
         self._call_body(self.tree.body, ("mod", self.module), self.module, None)
 
     def _call_body(self, body, parent, prefix, owner) -> None:
+        """owner: the bare name of the class that ``body`` is in, also through functions."""
         for s in body:
-            if isinstance(s, ast.ClassDef):
-                q = f"{prefix}::{s.name}"
-                self._decorators(s, q)
-                self._call_body(s.body, ("func", q), q, q)
-            elif isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                q = f"{prefix}::{s.name}"
-                self.node("func", "METHOD" if owner else "FUNCTION", q, s.lineno)
-                self.edge(parent, "CONTAINS", ("func", q), s.lineno)
-                self._decorators(s, q)
-                for n in ast.walk(s):
-                    if isinstance(n, ast.Call):
-                        self._call(n, q, owner)
-                self._call_body(s.body, ("func", q), q, owner)
+            if not isinstance(s, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
+                continue
+            q, is_class = f"{prefix}::{s.name}", isinstance(s, ast.ClassDef)
+            self.node("func", "CLASS" if is_class else "METHOD" if owner else "FUNCTION", q, s.lineno)
+            self.edge(parent, "CONTAINS", ("func", q), s.lineno, shown=f"{SOURCE_ID} contains {q}")
+            self._decorators(s, q)
+            if is_class:
+                self._call_body(s.body, ("func", q), q, s.name)
+                continue
+            for n in ast.walk(s):
+                if isinstance(n, ast.Call):
+                    self._call(n, q, owner)
+            self._call_body([x for x in s.body if not isinstance(x, ast.ClassDef)], ("func", q), q, owner)
 
     def _call(self, n: ast.Call, caller: str, owner: str | None) -> None:
-        f, ref, keys = n.func, None, None
+        f, scope, ref, keys = n.func, self.scope, None, None
         if isinstance(f, ast.Name):
-            if f.id in self.scope.local:
-                target, certainty = self.scope.local[f.id], 3
-            elif f.id in self.scope.imported:
-                target, certainty = self.scope.imported[f.id], 2
+            if f.id in scope.local:
+                target, certainty = scope.local[f.id], 3
             else:
-                target, certainty = f"<unresolved>::{f.id}", 1
+                found = scope.from_module(f.id)
+                target, certainty = (found, 2) if found else (f"<unresolved>::{f.id}", 1)
         elif isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name):
             left = f.value.id
-            if left == "self" and owner:
-                target, certainty = f"{owner}::{f.attr}", 2
-            elif left in self.scope.alias:
-                target, certainty, ref, keys = f"{self.scope.alias[left]}::{f.attr}", 1, "alias", [self.scope.alias[left]]
-            elif left in self.scope.imported:
-                target, certainty = f"{self.scope.imported[left]}::{f.attr}", 1
+            if left == "self":
+                target, certainty = (f"{self.module}::{owner}::{f.attr}", 2) if owner else (f"<self>::{f.attr}", 1)
+            elif left in scope.alias:
+                target, certainty, ref, keys = f"{scope.alias[left]}::{f.attr}", 1, "alias", [scope.alias[left]]
+            elif left in scope.imported:
+                target, certainty = "::".join([*scope.imported[left], f.attr]), 1
             else:
                 return
         else:
             return
-        self.node("func", "FUNCTION", target, certainty=certainty, own_file=False)
-        self.edge(("func", caller), "CALLS", ("func", target), n.lineno, certainty, ref=ref, keys=keys)
+        self._add(kind="node", prefix="func", type="FUNCTION", name=target.split("::")[-1], qualified_name=target, display_name=target, certainty=certainty, file_path=None, ref=ref, keys=keys)
+        self.edge(("func", caller), "CALLS", ("func", target), n.lineno, certainty, shown=f"{SOURCE_ID} calls {target}", ref=ref, keys=keys)
+
+    def _decorator(self, f: ast.AST) -> tuple[str, int]:
+        if isinstance(f, ast.Name):
+            found = self.scope.from_module(f.id)
+            return (found, 2) if found else (self.scope.local[f.id], 3) if f.id in self.scope.local else (f"<unresolved>::{f.id}", 1)
+        parts = []
+        while isinstance(f, ast.Attribute):
+            parts.insert(0, f.attr)
+            f = f.value
+        if not parts:
+            return UNKNOWN, 1
+        head = f.id if isinstance(f, ast.Name) else parts.pop(0)
+        module = self.scope.alias.get(head)
+        return "::".join([module or head, *parts]), 2 if module else 1
 
     def _decorators(self, s, q: str) -> None:
         for d in s.decorator_list:
-            f = d.func if isinstance(d, ast.Call) else d
-            name = dotted(f)
-            if name is None:
-                continue
-            head, _, rest = name.partition(".")
-            if not rest:
-                target, certainty = (self.scope.imported[name], 2) if name in self.scope.imported else (self.scope.local[name], 3) if name in self.scope.local else (f"<unresolved>::{name}", 1)
-            else:
-                target, certainty = (f"{self.scope.alias[head]}::{rest}", 2) if head in self.scope.alias else (f"{self.scope.imported[head]}::{rest}", 1) if head in self.scope.imported else (f"{self.module}::{name}", 2) if head in self.scope.local else (f"<unresolved>::{name}", 1)
-            meta = ({"is_factory": "true"} if isinstance(d, ast.Call) else {}) | ({"preserves_identity": "true"} if target == "functools::wraps" else {})
+            factory = isinstance(d, ast.Call)
+            target, certainty = self._decorator(d.func if factory else d)
+            meta = ({"is_factory": "true"} if factory else {}) | ({"preserves_identity": "true"} if target in ("functools::wraps", "<unresolved>::wraps") else {})
             self.node("deco", "DECORATOR", target, certainty=certainty, own_file=False)
-            self.edge(("deco", target), "DECORATES", ("func", q), d.lineno, certainty, **meta)
+            self.edge(("deco", target), "DECORATES", ("func", q), s.lineno, certainty, shown=f"{target} decorates {TARGET_ID}", **meta)
 
     # -- web frameworks
 
     def _functions(self) -> list:
         return [s for s in self.tree.body if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef))]
 
-    def _endpoint(self, parts: list[str], path: str, method: str, q: str, line: int, framework: str, certainty: int = 3) -> None:
-        name = f"{method} {path}"
-        self._add(kind="node", prefix="endpoint", type="ENDPOINT", name=name, qualified_name="|".join(parts), display_name=name, line_number=line, certainty=certainty, meta={"http_method": method, "path": path, "framework": framework})
-        self.edge(("func", q), "EXPOSES_ENDPOINT", ("endpoint", "|".join(parts)), line, certainty)
+    def _endpoint(self, parts: list[str], shown: str, handler: tuple[str, str, int], line: int, **meta) -> None:
+        """An endpoint of the identity ``parts`` and who serves it: (its name, qualified name, certainty)."""
+        name, q, certainty = handler
+        self.node("func", "FUNCTION", q, line, certainty, name=name)
+        self._add(kind="node", prefix="endpoint", type="ENDPOINT", name=shown, qualified_name="|".join(parts), display_name=shown, line_number=line, meta=meta)
+        self.edge(("func", q), "EXPOSES_ENDPOINT", ("endpoint", "|".join(parts)), line, certainty, shown=f"{name} exposes {shown}")
 
     def fastapi(self) -> None:
         for s in self._functions():
             q, routed = f"{self.module}::{s.name}", False
             for d in s.decorator_list:
-                if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.func.attr in HTTP_VERBS:
-                    given = d.args[0] if d.args else next((k.value for k in d.keywords if k.arg in ("path", None)), None)
-                    path = text_of(given) or UNKNOWN
-                    method = d.func.attr.upper()
-                    self._endpoint([method, path], path, method, q, s.lineno, "fastapi", 3 if path != UNKNOWN else 1)
-                    routed = True
+                if not (isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.func.attr.lower() in HTTP_VERBS):
+                    continue
+                given = d.args[0] if d.args else next((k.value for k in d.keywords if k.arg in ("path", None)), None)
+                path, method, routed = text_of(given) or UNKNOWN, d.func.attr.upper(), True
+                self._endpoint([method, path], f"{method} {path}", (s.name, q, 3), s.lineno, http_method=method, path=path)
             if not routed:
                 continue
-            args = [*s.args.posonlyargs, *s.args.args, *s.args.kwonlyargs]
             for v in [*s.args.defaults, *filter(None, s.args.kw_defaults)]:
-                if isinstance(v, ast.Call) and last_name(v.func) == "Depends" and v.args and (name := last_name(v.args[0])):
-                    self.edge(("func", q), "INJECTS_DEPENDENCY", ("func", f"<unresolved>::{name}"), s.lineno, 1, ref="class", keys=[name])
-            for a in args:
-                for name in annotation_names(a.annotation)[:1]:
-                    self.edge(("func", q), "TYPE_ANNOTATED", ("func", name), s.lineno, 3, ref="known class", keys=[name], context=f"parameter {a.arg}")
+                if isinstance(v, ast.Call) and isinstance(v.func, ast.Name) and v.func.id == "Depends" and v.args and isinstance(v.args[0], (ast.Name, ast.Attribute)):
+                    name = ast.unparse(v.args[0])
+                    self.edge(("func", q), "INJECTS_DEPENDENCY", ("func", f"<unresolved>::{name}"), s.lineno, 1, shown=f"{s.name} depends on {name}", ref="class", keys=[name])
+            for a in self._arguments(s):
+                if name := handled_name(a.annotation):
+                    self.edge(("func", q), "TYPE_ANNOTATED", ("func", name), s.lineno, shown=f"{s.name} param annotated with {name}", ref="known class", keys=[name])
+            if name := handled_name(s.returns):
+                self.edge(("func", q), "TYPE_ANNOTATED", ("func", name), s.lineno, shown=f"{s.name} returns {name}", ref="known class", keys=[name])
 
     def flask(self) -> None:
         for s in self._functions():
             for d in s.decorator_list:
                 if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.func.attr == "route":
                     path = text_of(d.args[0]) if d.args else None
-                    listed = next((k.value for k in d.keywords if k.arg == "methods"), None)
-                    methods = [m.upper() for e in getattr(listed, "elts", []) if (m := text_of(e))] or ["GET"]
-                    for m in methods:
-                        self._endpoint([m, path or UNKNOWN], path or UNKNOWN, m, f"{self.module}::{s.name}", s.lineno, "flask")
+                    path = path or UNKNOWN
+                    listed = next((k.value for k in d.keywords if k.arg == "methods" and isinstance(k.value, ast.List)), None)
+                    for m in [m.upper() for e in getattr(listed, "elts", []) if (m := text_of(e))] or ["GET"]:
+                        self._endpoint([m, path], f"{m} {path}", (s.name, f"{self.module}::{s.name}", 3), s.lineno, http_method=m, path=path)
 
     def django(self) -> None:
-        if self.path.rsplit("/", 1)[-1] == "urls.py":
-            for s in self.tree.body:
-                if isinstance(s, ast.Assign) and any(last_name(t) == "urlpatterns" for t in s.targets):
-                    self._urls(s.value)
-        for c in ast.walk(self.tree):
-            if isinstance(c, ast.ClassDef) and any(dotted(b) in ("Model", "models.Model") for b in c.bases):
-                q = f"{self.module}::{c.name}"
-                self.node("model", "SQLALCHEMY_MODEL", q, c.lineno, framework="django")
-                for s in c.body:
-                    if isinstance(s, ast.Assign) and isinstance(s.value, ast.Call) and last_name(s.value.func) in RELATIONS and s.value.args:
-                        name = (text_of(s.value.args[0]) or last_name(s.value.args[0]) or "").split(".")[-1]
-                        if name:
-                            self.node("func", "SQLALCHEMY_MODEL", f"<unresolved>::{name}", certainty=1, own_file=False)
-                            self.edge(("model", q), "FOREIGN_KEY", ("func", f"<unresolved>::{name}"), s.lineno, 2, relation=last_name(s.value.func))
+        for s in self.tree.body:
+            if isinstance(s, ast.Assign) and self.path.rsplit("/", 1)[-1] == "urls.py" and any(isinstance(t, ast.Name) and t.id == "urlpatterns" for t in s.targets):
+                self._urls(s.value)
+            if isinstance(s, ast.ClassDef) and any(isinstance(b, (ast.Name, ast.Attribute)) and ast.unparse(b) in ("Model", "models.Model") for b in s.bases):
+                self._django_model(s)
 
     def _urls(self, value: ast.AST) -> None:
-        for e in getattr(value, "elts", []):
-            if not (isinstance(e, ast.Call) and last_name(e.func) in ("path", "re_path", "url") and e.args):
+        for e in value.elts if isinstance(value, (ast.List, ast.Tuple)) else ():
+            if not isinstance(e, ast.Call):
                 continue
-            for a in e.args:
-                self._urls(a)
-            path, view = text_of(e.args[0]), dotted(e.args[1]) if len(e.args) > 1 else None
-            if view is None and len(e.args) > 1 and isinstance(e.args[1], ast.Call) and isinstance(e.args[1].func, ast.Attribute) and e.args[1].func.attr == "as_view":
-                view = dotted(e.args[1].func.value)
-            if path is None or view is None:
+            if last_name(e.func) not in ("path", "re_path", "url"):
+                for a in e.args:  # include and the like
+                    self._urls(a)
+            elif e.args:
+                given = e.args[1] if len(e.args) > 1 else None
+                given = given.func if isinstance(given, ast.Call) else given if isinstance(given, (ast.Name, ast.Attribute)) else None
+                path, view = text_of(e.args[0]) or UNKNOWN, ast.unparse(given) if given is not None else "<unknown>"
+                self._endpoint(["DJANGO", path, view], f"DJANGO {path} -> {view}", (view, f"{self.module}::{view}", 2), e.lineno, http_method="ANY", path=path, view=view)
+
+    def _django_model(self, c: ast.ClassDef) -> None:
+        q = f"{self.module}::{c.name}"
+        self.node("model", "SQLALCHEMY_MODEL", q, c.lineno, framework="django")
+        for s in c.body:
+            if not (isinstance(s, ast.Assign) and isinstance(s.value, ast.Call) and last_name(s.value.func) in RELATIONS and s.value.args):
                 continue
-            head = view.split(".")[0]
-            target = f"{self.scope.alias[head]}::{view.partition('.')[2]}" if head in self.scope.alias else f"{self.scope.imported[head]}{'::' + view.partition('.')[2] if '.' in view else ''}" if head in self.scope.imported else f"{self.module}::{view}"
-            self.node("func", "FUNCTION", target, certainty=2, own_file=False)
-            self._endpoint(["DJANGO", path, view], path, "ANY", target, e.lineno, "django", 2)
+            given = s.value.args[0]
+            name = (text_of(given) or last_name(given) or "").split(".")[-1]
+            if name:
+                self._related(q, name, "FOREIGN_KEY", s.lineno, f"{c.name} -> {name} ({last_name(s.value.func)})")
+
+    def _related(self, model: str, name: str, kind: str, line: int, shown: str, **keyed) -> None:
+        target = f"<unresolved>::{name}"
+        self._add(kind="node", prefix="func", type="SQLALCHEMY_MODEL", name=name, qualified_name=target, display_name=target, certainty=1, file_path=None, **keyed)
+        self.edge(("model", model), kind, ("func", target), line, 2, shown=shown, **keyed)
 
     # -- models
 
@@ -318,28 +335,43 @@ class File:
                 for t in s.targets:
                     if isinstance(t, ast.Name):
                         self._add(kind="base", name=t.id)
-        for c in ast.walk(self.tree):
+            elif isinstance(s, ast.ClassDef) and any(last_name(b) in MODEL_BASES for b in s.bases):
+                self._add(kind="base", name=s.name)
+        for c in self.tree.body:
             if isinstance(c, ast.ClassDef) and (bases := [b for b in map(last_name, c.bases) if b]):
-                q = f"{self.module}::{c.name}"
-                keyed = {"ref": "base", "keys": bases}
-                self._add(kind="node", prefix="model", type="SQLALCHEMY_MODEL", name=c.name, qualified_name=q, display_name=c.name, line_number=c.lineno, **keyed)
-                for s in c.body:
-                    target = s.targets[0] if isinstance(s, ast.Assign) else s.target if isinstance(s, ast.AnnAssign) else None
-                    value = getattr(s, "value", None)
-                    if last_name(target) == "__tablename__" and (table := text_of(value)):
-                        self._add(kind="node", prefix="table", type="TABLE", name=table, qualified_name=table, display_name=table, line_number=s.lineno, **keyed)
-                        self.edge(("model", q), "DEFINES_MODEL", ("table", table), s.lineno, **keyed)
-                    elif isinstance(value, ast.Call) and last_name(value.func) in ("Column", "mapped_column"):
-                        for k in ast.walk(value):
-                            if isinstance(k, ast.Call) and last_name(k.func) == "ForeignKey" and k.args and (ref := text_of(k.args[0])):
-                                table = ref.rsplit(".", 1)[0]
-                                self._add(kind="node", prefix="table", type="TABLE", name=table, qualified_name=table, display_name=table, certainty=2, file_path=None, **keyed)
-                                self.edge(("model", q), "FOREIGN_KEY", ("table", table), s.lineno, **keyed)
-                    elif isinstance(value, ast.Call) and last_name(value.func) == "relationship" and value.args:
-                        name = text_of(value.args[0]) or last_name(value.args[0])
-                        if name:
-                            self._add(kind="node", prefix="func", type="SQLALCHEMY_MODEL", name=name, qualified_name=f"<unresolved>::{name}", display_name=name, certainty=1, file_path=None, **keyed)
-                            self.edge(("model", q), "CALLS", ("func", f"<unresolved>::{name}"), s.lineno, 1, relationship="true", **keyed)
+                self._model(c, {"ref": "base", "keys": bases})
+
+    def _model(self, c: ast.ClassDef, keyed: dict) -> None:
+        q = f"{self.module}::{c.name}"
+        self._add(kind="node", prefix="model", type="SQLALCHEMY_MODEL", name=c.name, qualified_name=q, display_name=q, line_number=c.lineno, meta={"framework": "sqlalchemy"}, **keyed)
+        named = next((s for s in c.body if isinstance(s, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__tablename__" for t in s.targets)), None)
+        if table := text_of(getattr(named, "value", None)):
+            self._add(kind="node", prefix="table", type="TABLE", name=table, qualified_name=table, display_name=table, line_number=c.lineno, **keyed)
+            self.edge(("model", q), "DEFINES_MODEL", ("table", table), c.lineno, shown=f"{c.name} defines table {table}", **keyed)
+        for s in c.body:
+            value = s.value if isinstance(s, (ast.Assign, ast.AnnAssign)) else None
+            how = last_name(value.func) if isinstance(value, ast.Call) else None
+            if how in ("Column", "mapped_column"):
+                for a in [*value.args, *(k.value for k in value.keywords)]:
+                    self._foreign_keys(a, c, s.lineno, keyed)
+            elif how == "ForeignKey":
+                self._foreign_keys(value, c, s.lineno, keyed)
+            elif how == "relationship" and value.args:
+                given = value.args[0]
+                if name := text_of(given) or (given.id if isinstance(given, ast.Name) else None):
+                    self._related(q, name, "CALLS", s.lineno, f"{c.name} relationship -> {name}", **keyed)
+
+    def _foreign_keys(self, value: ast.AST, c: ast.ClassDef, line: int, keyed: dict) -> None:
+        """Of a call, or of the calls among its arguments."""
+        if not isinstance(value, ast.Call):
+            return
+        if last_name(value.func) != "ForeignKey":
+            for a in value.args:
+                self._foreign_keys(a, c, line, keyed)
+        elif value.args and (ref := text_of(value.args[0])):
+            table = ref.split(".")[0]
+            self._add(kind="node", prefix="table", type="TABLE", name=table, qualified_name=table, display_name=table, certainty=2, file_path=None, **keyed)
+            self.edge(("model", f"{self.module}::{c.name}"), "FOREIGN_KEY", ("table", table), line, shown=f"{c.name} FK -> {table}", **keyed)
 
     # -- HTTP clients
 
@@ -356,70 +388,77 @@ class File:
 
         visit(self.tree.body, self.module)
         for n in ast.walk(self.tree):
-            if not (isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr in HTTP_VERBS):
+            if not (isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr.lower() in HTTP_VERBS[:-1]):
                 continue
             left = n.func.value
-            client = dotted(left) if isinstance(left, ast.Name) else dotted(left.func) + "()" if isinstance(left, ast.Call) and dotted(left.func) else None
-            if client not in ("requests", "httpx", "requests.Session()", "httpx.Client()", "httpx.AsyncClient()"):
+            session = isinstance(left, ast.Call) and isinstance(left.func, ast.Attribute) and left.func.attr in SESSIONS
+            client = left.func.value if session else left
+            if not (isinstance(client, ast.Name) and client.id in CLIENTS):
                 continue
-            given = n.args[0] if n.args else next((k.value for k in n.keywords if k.arg == "url"), None)
-            url, method = text_of(given) or UNKNOWN, n.func.attr.upper()
-            certainty = 3 if url != UNKNOWN else 1
-            q = where.get(id(n))
-            if q:
-                self.node("func", "FUNCTION", q)
-            self._add(kind="node", prefix="ext_endpoint", type="EXTERNAL_ENDPOINT", name=f"{method} {url}", qualified_name=f"{method}|{url}", display_name=f"{method} {url}", certainty=certainty, file_path=None, meta={"http_method": method, "url": url})
-            self.edge(("func", q) if q else ("mod", self.module), "CALLS_HTTP", ("ext_endpoint", f"{method}|{url}"), n.lineno, certainty, library=client.split(".")[0])
+            url, method = text_of(n.args[0]) if n.args else None, n.func.attr.upper()
+            url = url or UNKNOWN
+            certainty, shown, q = 1 if url == UNKNOWN else 3, f"{method} {url}", where.get(id(n), f"{self.module}::<module>")
+            self._add(kind="node", prefix="ext_endpoint", type="EXTERNAL_ENDPOINT", name=shown, qualified_name=f"{method}|{url}", display_name=shown, line_number=n.lineno, certainty=certainty, meta={"http_method": method, "url": url})
+            self.node("func", "FUNCTION", q)
+            self.edge(("func", q), "CALLS_HTTP", ("ext_endpoint", f"{method}|{url}"), n.lineno, certainty, shown=f"{q} calls {shown}")
 
     # -- type annotations
 
+    def _arguments(self, s) -> list[ast.arg]:
+        return [a for a in [*s.args.args, *s.args.kwonlyargs, s.args.vararg, s.args.kwarg] if a is not None and a.arg != "self"]
+
     def annotations(self) -> None:
         self._annotated(self.tree.body, self.module, None)
 
     def _annotated(self, body, prefix, inside) -> None:
         for s in body:
             if isinstance(s, ast.ClassDef):
-                self._annotated(s.body, f"{prefix}::{s.name}", inside)
+                self._annotated(s.body, f"{prefix}::{s.name}", None)
             elif isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 q = f"{prefix}::{s.name}"
-                given = [(a.annotation, f"parameter {a.arg}") for a in [*s.args.args, *s.args.kwonlyargs, *filter(None, [s.args.vararg, s.args.kwarg])]]
-                for a, context in [*given, (s.returns, "return")]:
+                self.node("func", "FUNCTION", q, s.lineno)
+                for a, context in [*((a.annotation, f"param {a.arg}") for a in self._arguments(s)), (s.returns, "return")]:
                     self._types(a, ("func", q), context, s.lineno)
                 self._annotated(s.body, q, q)
             elif isinstance(s, ast.AnnAssign):
-                self._types(s.annotation, ("func", inside) if inside else ("mod", self.module), "variable", s.lineno)
+                self._types(s.annotation, ("func", inside) if inside else ("mod", self.module), "annotated assignment", s.lineno)
 
     def _types(self, annotation, source, context: str, line: int) -> None:
-        for name in annotation_names(annotation):
-            self.edge(source, "TYPE_ANNOTATED", ("func", name), line, 3, ref="known class", keys=[name], context=context)
+        for name in dict.fromkeys(annotation_names(annotation)):
+            self.edge(source, "TYPE_ANNOTATED", ("func", name), line, shown=f"{source[1]} [{context}] -> {name}", ref="known class", keys=[name])
+
+
+def handled_name(node: ast.AST | None) -> str | None:
+    """The one name that a handler's annotation stands for: the innermost of subscripts, the first of several."""
+    while isinstance(node, ast.Subscript):
+        node = node.slice
+    if isinstance(node, ast.Tuple):
+        return next(filter(None, map(handled_name, node.elts)), None)
+    return last_name(node)
 
 
 def annotation_names(node: ast.AST | None) -> list[str]:
-    """Names in an annotation without wrappers: unions, subscripts and quoted forms are opened."""
-    if node is None:
-        return []
-    if isinstance(node, ast.Constant):
-        if not isinstance(node.value, str):
-            return []
-        try:
-            return annotation_names(ast.parse(node.value, mode="eval").body)
-        except SyntaxError:
-            return []
-    if isinstance(node, ast.BinOp):
+    """Names in an annotation without wrappers: unions and subscripts are opened, a quoted name counts as it stands."""
+    if text := text_of(node):
+        return [text]
+    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.BitOr):
         return annotation_names(node.left) + annotation_names(node.right)
     if isinstance(node, ast.Subscript):
-        own = last_name(node.value)
-        return ([own] if own and own not in TYPE_WRAPPERS else []) + annotation_names(node.slice)
-    if isinstance(node, (ast.Tuple, ast.List)):
+        return annotation_names(node.value) + annotation_names(node.slice)
+    if isinstance(node, ast.Tuple):
         return [x for e in node.elts for x in annotation_names(e)]
     name = last_name(node)
-    return [name] if name and name not in TYPE_WRAPPERS else []
+    return [name] if name and not (isinstance(node, ast.Name) and name in TYPE_WRAPPERS) else []
 
 
-def file_facts(path: str, rank: int, source: bytes, added=()) -> list[dict]:
-    """Facts of a file, or one warning where it can't be read as Python."""
+def file_facts(path: str, rank: int, source: bytes | None, added=()) -> list[dict]:
+    """Facts of a file, or one warning where it can't be read (``source`` is None) or isn't Python."""
     try:
+        if source is None:
+            raise OSError(f"cannot read {path}")
         return list(File(path, rank, source).facts(added))
+    except OSError as e:
+        code, message = "IO_ERROR", str(e)
     except UnicodeDecodeError as e:
         code, message = "DECODE_ERROR", str(e)
     except (SyntaxError, ValueError) as e:

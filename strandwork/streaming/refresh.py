@@ -43,7 +43,7 @@ def refresh(spark: SparkSession, options: ScanOptions, store: Store, added=()) -
     Files are ranked by path, so ranks move when files come and go: stored facts take their file's new rank.
     ``added``: extractors of the caller (see ``extract``), the same ones for each refresh of a store.
     """
-    sources, warnings = sources_table(spark, options)
+    sources, files, warnings = sources_table(spark, options)
     now = materialize(sources.withColumn("sha256", F.sha2("content", 256)), "sources")
     manifest = now.select("path", "kind", "rank", "sha256", "mtime")
     before = store.read()
@@ -59,7 +59,6 @@ def refresh(spark: SparkSession, options: ScanOptions, store: Store, added=()) -
         kept = named.join(kept, "fact_path").withColumn("file", F.col("rank")).select(*old.columns)
         facts = materialize(kept.unionByName(extract(now.join(dirty, "path", "left_semi"), added).select(*old.columns)), "facts")
     store.write(facts, manifest)
-    files, _ = scan(options)
     return assemble(facts, configs.topology(os.path.realpath(options.root), [p for p, k in files if k == "config"]), warnings)
 
 

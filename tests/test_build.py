@@ -16,7 +16,7 @@ TREE = {
     "api/app/main.py": "import os\nimport importlib\nfrom fastapi import FastAPI, Depends\nfrom .models import User\nfrom . import tools as t\nimport app.tools\n\napp = FastAPI()\n\n\ndef get_db():\n    return 1\n\n\n@app.get('/users/{id}')\ndef read(id: int, u: User, db=Depends(get_db), s=Depends(User)):\n    helper()\n    t.go()\n    os.getcwd()\n    return User()\n\n\ndef helper():\n    importlib.import_module('x')\n",
     "api/app/models.py": "from sqlalchemy import Column, ForeignKey\nfrom sqlalchemy.orm import declarative_base, relationship\nfrom abc import ABC\n\nThing = declarative_base()\n\n\nclass User(Thing):\n    __tablename__ = 'users'\n    team_id = Column(ForeignKey('teams.id'))\n    team = relationship('Team')\n\n    def name(self) -> 'User':\n        return self.other()\n\n\nclass Plain(ABC):\n    pass\n",
     "api/app/tools.py": "import requests\nfrom functools import wraps\n\n\ndef go():\n    requests.post('http://x/y')\n    requests.get(url())\n\n\n@wraps(go)\nasync def later():\n    def inner():\n        go()\n",
-    "api/app/urls.py": "from django.urls import path\nfrom app import views\n\nurlpatterns = [path('p/', views.index), path('q/', [path('r/', views.Other.as_view())])]\n",
+    "api/app/urls.py": "from django.urls import path\nfrom app import views\n\nurlpatterns = [path('p/', views.index), include([path('r/', views.Other.as_view())])]\n",
     "api/flasky.py": "@bp.route('/items', methods=['GET', 'POST'])\ndef items():\n    pass\n",
     "web/src/client.tsx": "import { a, b as c } from './util';\nimport React from 'react';\nconst x = require('../other');\nexport async function load() {\n  // fetch('/no')\n  const r = await fetch('/items/');\n  return axios.post(`/users/${r}`);\n}\nconst Page = () => { load(); return useSWR('/items?x=1', load); };\nclass Box { open(n) { fetch('/box'); } }\n",
     "web/src/util.ts": "export const a = 1;\n",
@@ -65,7 +65,7 @@ def test_listing(root):
 
 def test_names():
     assert module_name("src/a/__init__.py") == "a" and module_name("a/b.py") == "a.b" and module_name("__init__.py") == ""
-    assert relative_target("x", 1, "p.m") == "p.x" and relative_target(None, 2, "a.b.c") == "a" and relative_target("x", 3, "p.m") is None
+    assert relative_target("x", 1, "p.m") == "p.x" and relative_target(None, 2, "a.b.c") == "a" and relative_target("x", 3, "p.m") == "x" and relative_target(None, 3, "p.m") is None
     assert resolve_specifier("../x/y.ts", "a.b.c") == ("a.x.y", True) and resolve_specifier("react", "a") == ("react", False)
     import ast
 
@@ -82,13 +82,13 @@ def test_every_name_is_a_node(graph):
     "source, kind, target, certainty",
     [
         ("api.app.main", "IMPORTS", "os", 3), ("api.app.main", "IMPORTS_FROM", "fastapi", 2), ("api.app.main", "IMPORTS_FROM", "api.app.models", 3), ("api.app.main", "IMPORTS_FROM", "api.app", 3), ("api.app.main", "IMPORTS", "app.tools", 2),
-        ("api.app.main", "IMPORTS", "<dynamic>::<unknown>", 0), ("api.app.models", "CONTAINS", "api.app.models::User", 3), ("api.app.models::User", "CONTAINS", "api.app.models::User::name", 3), ("api.app.models::User", "INHERITS", "<unknown>::Thing", 1),
+        ("api.app.main", "IMPORTS", "<dynamic>::<unknown>", 0), ("api.app.models", "CONTAINS", "api.app.models::User", 3), ("api.app.models::User", "CONTAINS", "api.app.models::User::name", 3), ("api.app.models::User", "INHERITS", "<builtins>::Thing", 1),
         ("api.app.models::Plain", "IMPLEMENTS", "abc::ABC", 2), ("api.app.main::read", "CALLS", "api.app.main::helper", 3), ("api.app.main::read", "CALLS", "os::getcwd", 1), ("api.app.models::User::name", "CALLS", "api.app.models::User::other", 2),
-        ("api.app.main::read", "EXPOSES_ENDPOINT", "GET|/users/{id}", 3), ("api.app.main::read", "INJECTS_DEPENDENCY", "<unresolved>::get_db", 1), ("api.app.main::read", "INJECTS_DEPENDENCY", "api.app.models::User", 3),
-        ("api.app.main::read", "TYPE_ANNOTATED", "api.app.models::User", 3), ("functools::wraps", "DECORATES", "api.app.tools::later", 2), ("api.app.tools::go", "CALLS_HTTP", "POST|http://x/y", 3), ("api.app.tools::go", "CALLS_HTTP", "GET|<dynamic>", 1),
-        ("api.flasky::items", "EXPOSES_ENDPOINT", "POST|/items", 3), ("app::views::index", "EXPOSES_ENDPOINT", "DJANGO|p/|views.index", 2), ("app::views::Other", "EXPOSES_ENDPOINT", "DJANGO|r/|views.Other", 2),
+        ("api.app.main::read", "EXPOSES_ENDPOINT", "GET /users/{id}", 3), ("api.app.main::read", "INJECTS_DEPENDENCY", "<unresolved>::get_db", 1), ("api.app.main::read", "INJECTS_DEPENDENCY", "api.app.models::User", 3),
+        ("api.app.main::read", "TYPE_ANNOTATED", "api.app.models::User", 3), ("functools::wraps", "DECORATES", "api.app.tools::later", 2), ("api.app.tools::go", "CALLS_HTTP", "POST http://x/y", 3), ("api.app.tools::go", "CALLS_HTTP", "GET <dynamic>", 1),
+        ("api.flasky::items", "EXPOSES_ENDPOINT", "POST /items", 3), ("api.app.urls::views.index", "EXPOSES_ENDPOINT", "DJANGO p/ -> views.index", 2), ("api.app.urls::views.Other.as_view", "EXPOSES_ENDPOINT", "DJANGO r/ -> views.Other.as_view", 2),
         ("api.app.models::User", "DEFINES_MODEL", "users", 3), ("api.app.models::User", "FOREIGN_KEY", "teams", 3), ("web.src.client", "IMPORTS_FROM", "web.src.util", 3), ("web.src.client", "IMPORTS", "react", 2), ("web.src.client", "IMPORTS", "web.other", 3),
-        ("web.src.client::load", "CALLS_HTTP", "GET|/items/", 3), ("web.src.client::load", "CALLS_HTTP", "POST|<dynamic>", 1), ("web.src.client::load", "CALLS_HTTP", "GET|/items", 2), ("web.src.client::Page", "CALLS_HTTP", "GET|/items", 2), ("web.src.client::Box::open", "CALLS_HTTP", "GET|/box", 3),
+        ("web.src.client::load", "CALLS_HTTP", "GET /items/", 3), ("web.src.client::load", "CALLS_HTTP", "POST <dynamic>", 1), ("web.src.client::load", "CALLS_HTTP", "GET /items", 2), ("web.src.client::Page", "CALLS_HTTP", "GET /items", 2), ("web.src.client::Box::open", "CALLS_HTTP", "GET /box", 3),
         ("web.src.client", "CALLS", "web.src.client::load", 2), ("api.app.main", "BELONGS_TO_SERVICE", "api", 3),
     ],
 )
@@ -99,6 +99,7 @@ def test_edges(edges, source, kind, target, certainty):
 def test_nodes_and_warnings(graph):
     n = {(r.type, r.qualified_name): r for r in graph.nodes.collect()}
     assert n["MODULE", "api.app.main"].id == make_id("mod", "api.app.main") and ("JS_COMPONENT", "web.src.client::Page") in n
+    assert n["FUNCTION", "api.app.main::helper"].display_name == "api.app.main::helper" and n["FUNCTION", "api.app.main::helper"].name == "helper"
     assert n["SERVICE", "api"].metadata["package_name"] == "api-pkg" and n["SERVICE", "api"].metadata["entrypoint"] == '["serve"]' and "GET /items" in n["SERVICE", "api"].metadata["endpoints"]
     assert ("COMPONENT", "shared") in n
     assert {w.code for w in graph.warnings.collect()} >= {"SYNTAX_ERROR", "DYNAMIC_IMPORT"}

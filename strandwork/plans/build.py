@@ -127,8 +127,8 @@ def emissions(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _with_topology(spark, nodes: DataFrame, edges: DataFrame, services: list[dict]) -> tuple[DataFrame, DataFrame]:
     """Service and component nodes, membership by the longest directory, and parallel edges for boundaries crossed."""
-    rows = [(x["dir"], x["kind"], x["name"], x["path"], x["certainty"], x["meta"]) for x in services]
-    s = spark.createDataFrame(rows, "dir string, type string, name string, file_path string, certainty int, metadata map<string,string>")
+    rows = [(x["dir"], x["kind"], x["name"], x["path"], x["certainty"], x["meta"], k) for k, x in enumerate(services)]
+    s = spark.createDataFrame(rows, "dir string, type string, name string, file_path string, certainty int, metadata map<string,string>, seq long")
     s = s.withColumn("id", F.concat(F.when(F.col("type") == "SERVICE", "svc").otherwise("comp"), F.lit(":"), F.substring(F.sha2("name", 256), 1, 16)))
     files = nodes.where("file_path is not null and type not in ('SERVICE', 'COMPONENT')").select(F.col("file_path").alias("path")).distinct()
     place = longest_directory(files, s.where("dir is not null and dir <> ''").select("dir", F.col("id").alias("service")))
@@ -142,12 +142,11 @@ def _with_topology(spark, nodes: DataFrame, edges: DataFrame, services: list[dic
     ends = lambda side: nodes.select(F.col("id").alias(f"{side}_id"), F.col("display_name").alias(f"{side}_shown"))
     cross = crossings(edges, member.select("id", "service")).join(ends("source"), "source_id").join(ends("target"), "target_id")
     cross = cross.join(names.select(F.col("service").alias("source_service"), F.col("name").alias("a")), "source_service").join(names.select(F.col("service").alias("target_service"), F.col("name").alias("b")), "target_service")
-    cross = cross.select("source_id", "target_id", F.lit("CROSSES_COMPONENT_BOUNDARY").alias("type"), F.concat("source_shown", F.lit(" -> "), "target_shown", F.lit(" [cross-boundary: "), "a", F.lit(" -> "), "b", F.lit("]")).alias("display_name"), "file_path", "line_number", "certainty", F.create_map(F.lit("from_service"), "a", F.lit("to_service"), "b").alias("metadata"), F.col("id").alias("first"))
-    cross = cross.dropDuplicates(["source_id", "target_id"]).drop("first")
-    served = nodes.where("type = 'ENDPOINT'").join(member.select("id", "service"), "id").groupBy("service").agg(F.to_json(F.sort_array(F.collect_set("display_name"))).alias("endpoints"))
-    s = s.join(served, s.id == served.service, "left").withColumn("metadata", F.map_concat("metadata", F.create_map(F.lit("endpoints"), F.coalesce("endpoints", F.lit("[]")))))
-    s = s.select("id", "type", "name", F.col("name").alias("qualified_name"), F.col("name").alias("display_name"), "file_path", F.lit(None).cast("int").alias("line_number"), F.lit(None).cast("int").alias("column"), "certainty", "metadata", F.lit(0).cast("long").alias("seq"))
-    more = belongs.unionByName(cross).withColumn("seq", F.lit(0).cast("long"))
+    cross = cross.select("source_id", "target_id", F.lit("CROSSES_COMPONENT_BOUNDARY").alias("type"), F.concat("source_shown", F.lit(" -> "), "target_shown", F.lit(" [cross-boundary: "), "a", F.lit(" -> "), "b", F.lit("]")).alias("display_name"), "file_path", "line_number", "certainty", F.create_map(F.lit("from_service"), "a", F.lit("to_service"), "b").alias("metadata"), F.conv(F.substring("id", -15, 15), 16, 10).cast("long").alias("seq"))
+    served = nodes.where("type = 'ENDPOINT'").join(member.select("id", "service"), "id").groupBy("service").agg(F.to_json(F.sort_array(F.collect_list("display_name"))).alias("endpoints"))
+    s = s.join(served, s.id == served.service, "left").withColumn("metadata", F.when(F.col("endpoints").isNull(), F.col("metadata")).otherwise(F.map_concat("metadata", F.create_map(F.lit("endpoints"), "endpoints"))))
+    s = s.select("id", "type", "name", F.col("name").alias("qualified_name"), F.col("name").alias("display_name"), "file_path", F.lit(None).cast("int").alias("line_number"), F.lit(None).cast("int").alias("column"), "certainty", "metadata", "seq")
+    more = belongs.withColumn("seq", F.lit(0).cast("long")).unionByName(cross)
     return nodes.unionByName(merge_nodes(s)), edges.unionByName(merge_edges(more))
 
 
@@ -180,6 +179,6 @@ def build(spark: SparkSession, options: ScanOptions, added=()) -> Graph:
     """Scan a tree from scratch. ``added``: see ``extract``."""
     sources, files, warnings = sources_table(spark, options)
     facts = materialize(extract(sources, added), "facts")
-    g = assemble(facts, configs.topology(os.path.realpath(options.root), [p for p, k in files if k == "config"]), warnings)
+    g = assemble(facts, configs.topology(configs.Folder(os.path.realpath(options.root)), [p for p, k in files if k == "config"]), warnings)
     g.metadata = {"root_path": os.path.realpath(options.root), "total_files": len(files)}
     return g

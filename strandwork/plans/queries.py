@@ -82,9 +82,9 @@ def impact_edges(spark, sf_dir):
     return traverse.impact(fk_graph(spark, sf_dir), "region:0", max_depth=4).edges.select("id", "type")
 
 
-@query(_walk_sql("SELECT 'supplier:1' AS id", 3, "target_id", "source_id") + " SELECT n.id, n.type, w.d AS depth FROM w JOIN nodes n ON n.id = w.id WHERE w.d > 0")
+@query(_walk_sql("SELECT 'supplier:1' AS id", 6, "target_id", "source_id") + " SELECT n.id, n.type, w.d AS depth FROM w JOIN nodes n ON n.id = w.id WHERE w.d > 0")
 def impact_upstream(spark, sf_dir):
-    return traverse.impact(fk_graph(spark, sf_dir), "supplier:1", direction="upstream", max_depth=3).nodes.select("id", "type", "depth")
+    return traverse.impact(fk_graph(spark, sf_dir), "supplier:1", direction="upstream").nodes.select("id", "type", "depth")
 
 
 @query(_walk_sql("SELECT 'nation:3' AS id", 5, "source_id", "target_id", "certainty >= 2 AND type IN ('CONTAINS', 'CALLS', 'IMPORTS')") + " SELECT n.id, n.file_path, w.d AS depth FROM w JOIN nodes n ON n.id = w.id WHERE w.d > 0 AND n.type IN ('FUNCTION', 'METHOD') AND (n.file_path IS NULL OR n.file_path GLOB '*/[1-4]*.py')")
@@ -93,10 +93,10 @@ def impact_filtered(spark, sf_dir):
     return r.nodes.select("id", "file_path", "depth")
 
 
-@query(_walk_sql("SELECT id FROM nodes WHERE id IN ('customer:1', 'customer:2', 'nation:3')", 3, "source_id", "target_id") + " SELECT n.id, min(w.d) AS depth FROM w JOIN nodes n ON n.id = w.id WHERE w.d > 0 GROUP BY n.id")
+@query(_walk_sql("SELECT id FROM nodes WHERE id IN ('customer:1', 'customer:2', 'nation:3')", 6, "source_id", "target_id") + " SELECT n.id, min(w.d) AS depth FROM w JOIN nodes n ON n.id = w.id WHERE w.d > 0 GROUP BY n.id")
 def batch_impact(spark, sf_dir):
     g = fk_graph(spark, sf_dir)
-    return traverse.batch_impact(g, g.nodes.where(F.col("id").isin("customer:1", "customer:2", "nation:3")).select("id"), max_depth=3).nodes.select("id", "depth")
+    return traverse.batch_impact(g, g.nodes.where(F.col("id").isin("customer:1", "customer:2", "nation:3")).select("id")).nodes.select("id", "depth")
 
 
 @query(_walk_sql("SELECT id FROM nodes WHERE file_path = 'part/7.py'", 6, "target_id", "source_id") + " SELECT DISTINCT n.id, n.type FROM w JOIN nodes n ON n.id = w.id WHERE w.d > 0")
@@ -176,20 +176,16 @@ def ambiguity_audit(spark, sf_dir):
     return lookup.audit(fk_graph(spark, sf_dir)).select("id", "type", "certainty")
 
 
-@query("WITH {graph} SELECT e.id, coalesce(s.display_name, e.source_id) AS source_name, coalesce(t.display_name, e.target_id) AS target_name FROM edges e LEFT JOIN (SELECT * FROM nodes WHERE type <> 'METHOD') s ON s.id = e.source_id LEFT JOIN (SELECT * FROM nodes WHERE type <> 'METHOD') t ON t.id = e.target_id WHERE e.certainty <= 1")
+@query("WITH {graph} SELECT e.id, coalesce(s.display_name, e.source_id) AS source_name, coalesce(t.display_name, e.target_id) AS target_name FROM edges e LEFT JOIN nodes s ON s.id = e.source_id LEFT JOIN nodes t ON t.id = e.target_id WHERE e.certainty <= 1")
 def audit_enriched(spark, sf_dir):
-    g = fk_graph(spark, sf_dir)
-    g.nodes = g.nodes.where("type <> 'METHOD'")  # so that some ends aren't nodes
-    return lookup.audit(g).select("id", "source_name", "target_name")
+    return lookup.audit(fk_graph(spark, sf_dir)).select("id", "source_name", "target_name")
 
 
-_UNUSED = "WITH {graph}, used AS (SELECT DISTINCT target_id FROM edges WHERE certainty = 0), u AS (SELECT * FROM nodes WHERE type IN ('FUNCTION', 'METHOD', 'CLASS') AND id NOT IN (SELECT target_id FROM used) AND NOT (file_path GLOB 'customer/*') AND NOT (qualified_name GLOB 'order.F.*' OR display_name GLOB 'order.F.*'))"
+_UNUSED = "WITH {graph}, used AS (SELECT DISTINCT target_id FROM edges WHERE type NOT IN ('CONTAINS', 'CALLS')), u AS (SELECT * FROM nodes WHERE type IN ('FUNCTION', 'METHOD', 'CLASS') AND id NOT IN (SELECT target_id FROM used) AND NOT (file_path GLOB 'customer/1*') AND NOT (qualified_name GLOB 'order.F.*' OR display_name GLOB 'order.F.*'))"
 
 
 def _unused(spark, sf_dir):
-    g = fk_graph(spark, sf_dir)
-    g.edges = g.edges.where("certainty = 0")
-    return lookup.unused(g, exclude=["customer/*"], entry_points=["order.F.*"])
+    return lookup.unused(fk_graph(spark, sf_dir), exclude=["customer/1*"], entry_points=["order.F.*"], ignore_edge_types=["CONTAINS", "CALLS"])
 
 
 @query(_UNUSED + " SELECT id, file_path, line_number FROM u")
@@ -274,15 +270,19 @@ def merge_regions(spark, sf_dir):
     return diff.merge_regions(line)
 
 
-_MANIFESTS = """old AS (SELECT 'o' || o_orderkey AS path, sha256(o_orderstatus) AS sha256, CAST(o_orderkey AS double) AS mtime FROM orders WHERE o_orderkey % 7 <> 0),
-new AS (SELECT 'o' || o_orderkey AS path, sha256(CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority ELSE o_orderstatus END) AS sha256, CAST(o_orderkey % 1000 AS double) AS mtime FROM orders WHERE o_orderkey % 11 <> 0)"""
+_MANIFESTS = """old AS (SELECT 'o' || o_orderkey AS path, sha256(o_orderstatus) AS sha256, CAST(o_orderkey AS double) AS mtime FROM orders UNION ALL SELECT 'c' || c_custkey, sha256(c_name), CAST(c_custkey AS double) FROM customer),
+new AS (SELECT 'o' || o_orderkey AS path, sha256(CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderpriority ELSE o_orderstatus END) AS sha256, CAST(o_orderkey % 1000 AS double) AS mtime FROM orders UNION ALL SELECT 's' || s_suppkey, sha256(s_name), CAST(s_suppkey AS double) FROM supplier)"""
 
 
 def _two_manifests(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    path, sha = F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path"), lambda c: F.sha2(c.cast("binary"), 256).alias("sha256")
-    old = o.where("o_orderkey % 7 <> 0").select(path, sha(F.col("o_orderstatus")), F.col("o_orderkey").cast("double").alias("mtime"))
-    new = o.where("o_orderkey % 11 <> 0").select(path, sha(F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderpriority")).otherwise(F.col("o_orderstatus"))), (F.col("o_orderkey") % 1000).cast("double").alias("mtime"))
+    """Orders are files of both, with other contents where they are urgent; customers are gone and suppliers have come."""
+
+    def rows(name, letter, key, text, time):
+        return table(spark, sf_dir, name).select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("path"), F.sha2(text.cast("binary"), 256).alias("sha256"), time.cast("double").alias("mtime"))
+
+    key, status, priority = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    old = rows("orders", "o", "o_orderkey", status, key).unionByName(rows("customer", "c", "c_custkey", F.col("c_name"), F.col("c_custkey")))
+    new = rows("orders", "o", "o_orderkey", F.when(priority == "1-URGENT", priority).otherwise(status), key % 1000).unionByName(rows("supplier", "s", "s_suppkey", F.col("s_name"), F.col("s_suppkey")))
     return old, new
 
 
@@ -303,14 +303,14 @@ def url_normal_form(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", normal_url(F.col("url")).alias("url"))
 
 
-@query(r"""WITH c AS (SELECT page_id, url, rtrim(split_part(split_part(url, '?', 1), '#', 1), '/') AS u FROM pages), s AS (SELECT page_id, url || '/' AS path FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, url || '?q=1#top' FROM pages WHERE page_id % 3 = 1)
+@query(r"""WITH c AS (SELECT page_id, url, rtrim(split_part(split_part(url, '?', 1), '#', 1), '/') AS u FROM pages), s AS (SELECT page_id, url || '/' AS path FROM pages UNION ALL SELECT page_id, url || '?q=1#top' FROM pages)
 SELECT c.page_id AS caller, s.page_id AS endpoint FROM c JOIN s ON rtrim(split_part(split_part(s.path, '?', 1), '#', 1), '/') = c.u""")
 def stitch(spark, sf_dir):
     """Calls to the endpoints whose normalised path is theirs."""
     from strandwork.operators.resolution import stitch as join
 
     p = table(spark, sf_dir, "pages")
-    end = p.where("page_id % 3 = 0").select("page_id", F.concat("url", F.lit("/")).alias("path")).unionByName(p.where("page_id % 3 = 1").select("page_id", F.concat("url", F.lit("?q=1#top")).alias("path")))
+    end = p.select("page_id", F.concat("url", F.lit("/")).alias("path")).unionByName(p.select("page_id", F.concat("url", F.lit("?q=1#top")).alias("path")))
     return join(p.select(F.col("page_id").alias("caller"), "url"), end.select(F.col("page_id").alias("endpoint"), "path")).select("caller", "endpoint")
 
 

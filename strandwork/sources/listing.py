@@ -62,6 +62,12 @@ def excluded(relative: str, patterns: list[str]) -> bool:
     return False
 
 
+def kind_of(path: str, js: bool) -> str | None:
+    """python, js, config or None, by the name alone."""
+    name = path.rsplit("/", 1)[-1]
+    return "config" if name in CONFIG_NAMES else "python" if name.endswith(".py") else "js" if js and name.endswith(JS_SUFFIXES) else None
+
+
 def scan(o: ScanOptions) -> tuple[list[tuple[str, str]], list[tuple[str, str, str, int]]]:
     """([(relative path, kind)], [(code, message, path, certainty)]), sorted; kind: python, js or config."""
     patterns, files, warnings, seen = ignore_patterns(o), [], [], set()
@@ -82,7 +88,6 @@ def scan(o: ScanOptions) -> tuple[list[tuple[str, str]], list[tuple[str, str, st
             if os.path.islink(path) and not os.path.exists(path):
                 warnings.append(("BROKEN_SYMLINK", f"link to nothing: {path}", path, 0))
             elif not excluded(join(n), patterns):
-                kind = "config" if n in CONFIG_NAMES else "python" if n.endswith(".py") else "js" if o.include_js and n.endswith(JS_SUFFIXES) else None
-                if kind:
+                if kind := kind_of(n, o.include_js):
                     files.append((join(n), kind))
     return sorted(files), warnings

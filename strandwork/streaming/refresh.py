@@ -59,7 +59,7 @@ def refresh(spark: SparkSession, options: ScanOptions, store: Store, added=()) -
         kept = named.join(kept, "fact_path").withColumn("file", F.col("rank")).select(*old.columns)
         facts = materialize(kept.unionByName(extract(now.join(dirty, "path", "left_semi"), added).select(*old.columns)), "facts")
     store.write(facts, manifest)
-    return assemble(facts, configs.topology(os.path.realpath(options.root), [p for p, k in files if k == "config"]), warnings)
+    return assemble(facts, configs.topology(configs.Folder(os.path.realpath(options.root)), [p for p, k in files if k == "config"]), warnings)
 
 
 def watch(changes: DataFrame, options: ScanOptions, store: Store, done: Callable[[Graph, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:

@@ -1,5 +1,6 @@
 import pytest
 
+from strandwork.plans import source_queries  # noqa: F401 -- registers its queries
 from strandwork.plans.queries import ORACLE, QUERIES
 
 from .oracle import compare, connect

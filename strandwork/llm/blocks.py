@@ -20,19 +20,25 @@ from strandwork.session import ship_package, small_arrow_batches
 from .kernels import release, text_buffers
 
 BATCH_BYTES = 4 << 20
+TASK_BYTES = 16 << 20  # of texts whose batches one task holds, one after the other
 RANGE_KEYS = 1 << 20
+TASK_RANGES = 4
 ANSWERS = "batch int, range int, at binary, n binary"
 
 
 def batched(docs: DataFrame, extra: list[str] | None = None) -> tuple[DataFrame, int, int]:
-    """(documents by batch, number of batches, bytes of all texts). Rows without doc_id are left out."""
+    """(documents by batch, tasks, bytes of all texts). Rows without doc_id are left out.
+
+    The number of tasks comes from the bytes, so that what one holds doesn't grow with the corpus.
+    """
     ship_package(docs.sparkSession)
     small_arrow_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // BATCH_BYTES))
     cols = ["doc_id", "text", *(extra or [])]
     part = docs.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("batch"), *cols)
-    return part.repartition("batch"), n, total
+    tasks = max(1, -(-total // TASK_BYTES))
+    return part.repartition(tasks, "batch"), tasks, total
 
 
 def one_of_each(table: pa.Table) -> pa.Table:
@@ -61,7 +67,8 @@ def _low(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def repeated_keys(docs: DataFrame, keys_of: Callable[[list], list[np.ndarray]], expected: int) -> tuple[DataFrame, int]:
-    """(answers by batch, bits of a range) for the keys that ``keys_of`` finds in the texts."""
+    """(answers by batch, bits of a range) for the keys that ``keys_of`` finds in the texts. Counts are exact up to 254 in a
+    batch and 65534 in all, and as many or more beyond; who asks only compares them and tells one from more."""
     bits = max(0, int(np.ceil(np.log2(max(1, expected / RANGE_KEYS)))))
 
     def send(key, table):
@@ -97,6 +104,7 @@ def repeated_keys(docs: DataFrame, keys_of: Callable[[list], list[np.ndarray]],
         return pa.table({"batch": pa.array(out["batch"], pa.int32()), "range": pa.array([key[0].as_py()] * len(out["at"]), pa.int32()), "at": pa.array(out["at"], pa.binary()), "n": pa.array(out["n"], pa.binary())})
 
     blocks = docs.groupBy("batch").applyInArrow(send, "range int, batch int, low binary, n binary")
+    blocks = blocks.repartition(max(1, (1 << bits) // TASK_RANGES), "range")
     return blocks.groupBy("range").applyInArrow(count, ANSWERS), bits
 
 

@@ -7,8 +7,8 @@ are intersected), and what is left is verified on the whole sets.
 
 Candidates aren't emitted as pairs of rows. Documents with the same set are first replaced by the smallest. Those
 that share rare-first prefix elements, directly or through others, form a block; only within a block can there be
-links. In a block that is too large for one task each document is first compared with one leader, which makes near copies
-one component; then the block is dealt to tiles and each pair of tiles is compared in a task of its own, except those that hold
+links. Each document is first compared with one leader, which makes near copies one component. Then every block is dealt to as many
+tiles as its size asks for, one for most, and each pair of tiles is compared on its own, except those that hold
 only the largest component, so every two documents that aren't known to be connected meet exactly once. A task compares a document with the candidates
 that aren't yet in its component and answers with at most one link for each document, which is enough for the components.
 """
@@ -28,7 +28,7 @@ from .components import components
 from .kernels import mix, release, shingle_sets, spread, text_buffers
 
 SETS = "doc_id long, n long, same binary, set1 array<long>, all array<long>, set3 array<long>"
-SALTS = 16
+COPIES = 4096  # equal sets that are linked with their smallest at once, about
 FOLLOWERS = 1024  # documents that are compared with one copy of their leader, about
 TILE_ELEMENTS = 1 << 19  # of sets that one side of a task holds, about
 
@@ -178,41 +178,37 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, tile: int =
     part, _, total = batched(docs)
     sets = materialize(_prefixes(part, n, percent, total), "sets")
     shared = sets.where("set1 is not null")
-    first = shared.groupBy("same").agg(F.min("doc_id").alias("a"))
-    # the rows of a large group of equal sets are dealt over salts; what they are joined with has a row for each salt
-    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = shared.select("same", F.col("doc_id").alias("b"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    copies = materialize(dealt.join(salted, ["same", "salt"]).select("a", "b"), "copies")
-    single = shared.join(copies.where("a = b").select(F.col("a").alias("doc_id")), "doc_id", "left_semi")
+    # equal sets are linked with the smallest of their part, and the parts' smallest with the group's; how many parts follows the largest group
+    most = shared.groupBy("same").agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0
+    dealt = shared.select("same", F.col("doc_id").alias("b"), F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-most // COPIES)))).alias("part"))
+    firsts = materialize(dealt.groupBy("same", "part").agg(F.min("b").alias("m")), "firsts")
+    heads = materialize(firsts.groupBy("same").agg(F.min("m").alias("a")), "heads")
+    copies = dealt.join(firsts, ["same", "part"]).where("b <> m").select(F.col("m").alias("a"), "b")
+    copies = materialize(copies.unionByName(firsts.join(heads, "same").where("m <> a").select("a", F.col("m").alias("b"))), "copies")
+    single = shared.join(heads.select(F.col("a").alias("doc_id")), "doc_id", "left_semi")
     entries = materialize(single.select(F.col("doc_id").alias("b"), F.explode("set1").alias("tok")), "entries")
     least = entries.groupBy("tok").agg(F.min("b").alias("a"), F.count("*").alias("k")).where("k > 1")
     near = components(entries.join(least, "tok").where("a <> b").select("a", "b").distinct())
     placed = near.join(single.select("doc_id", "n"), near.v == F.col("doc_id"))
-    sizes = placed.groupBy(F.col("comp").alias("block")).agg(F.sum("n").alias("elements"))
-    links = copies.where("a <> b")
-    if sizes.where(F.col("elements") > tile).limit(1).count():
-        large = materialize(sizes.where(F.col("elements") > tile).select(F.col("block").alias("comp")), "large")
-        member = materialize(near.join(large, "comp", "left_semi").select("v"), "member")
-        leads = _leader_links(single, entries.join(member, entries.b == member.v, "left_semi"), least, percent)
-        links = links.unionByName(leads)
-        known = components(leads).select(F.col("v").alias("known_id"), F.col("comp").alias("known"))
-        placed = placed.join(known, F.col("doc_id") == F.col("known_id"), "left")
-    else:
-        placed = placed.withColumn("known", F.lit(None).cast("long"))
-    placed = placed.select("doc_id", "n", F.col("comp").alias("block"), F.coalesce("known", "doc_id").alias("label"))
+    leads = _leader_links(single, entries, least, percent)
+    links = copies.unionByName(leads)
+    known = components(leads).select(F.col("v").alias("known_id"), F.col("comp").alias("known"))
+    placed = placed.join(known, F.col("doc_id") == F.col("known_id"), "left")
+    placed = materialize(placed.select("doc_id", "n", F.col("comp").alias("block"), F.coalesce("known", "doc_id").alias("label")), "placed")
     shares = placed.groupBy("block", "label").agg(F.sum("n").alias("e")).groupBy("block").agg(F.sum("e").alias("elements"), F.max(F.struct("e", "label")).alias("most"))
-    over, more = F.col("elements") > tile, lambda c: F.ceil(c / tile).cast("int")
-    shares = shares.select("block", F.when(over, F.col("most.label")).alias("main"), F.when(over, more(F.col("most.e"))).otherwise(0).alias("mains"), F.when(over, more(F.col("elements") - F.col("most.e"))).otherwise(1).alias("rest"))
-    cells = max(1, (sizes.agg(F.sum("elements")).first()[0] or 0) // tile)
+    # tiles of the largest known component needn't meet each other: ``mains`` of them, then those of the rest; a block of one component needs none
+    more = lambda c: F.ceil(c / tile).cast("int")
+    shares = shares.where("elements > most.e").select("block", F.col("most.label").alias("main"), F.when(F.col("elements") <= tile, 0).otherwise(more(F.col("most.e"))).alias("mains"), F.when(F.col("elements") <= tile, 1).otherwise(more(F.col("elements") - F.col("most.e"))).alias("rest"))
+    cells = max(1, (placed.agg(F.sum("n")).first()[0] or 0) // tile)
     rows = single.join(placed.join(shares, "block").drop("n"), "doc_id")
-    is_main, dealt = F.coalesce(F.col("label") == F.col("main"), F.lit(False)), F.xxhash64("doc_id")
+    is_main, dealt = (F.col("label") == F.col("main")) & (F.col("mains") > 0), F.xxhash64("doc_id")
     rows = rows.withColumn("tile", F.when(is_main, F.pmod(dealt, F.col("mains"))).otherwise(F.col("mains") + F.pmod(dealt, F.col("rest"))).cast("int"))
-    # tiles of the main component needn't meet each other; without a rest there is nothing left to compare
-    to_rest = F.when(F.col("rest") > 0, F.sequence(F.col("mains"), F.col("mains") + F.col("rest") - 1))
-    rows = rows.withColumn("other", F.explode(F.when(is_main, to_rest).otherwise(F.sequence(F.lit(0), F.col("mains") + F.col("rest") - 1))))
+    last = F.col("mains") + F.col("rest") - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(is_main, F.col("mains")).otherwise(0), last)))
     pair = F.xxhash64("block", F.least("tile", "other"), F.greatest("tile", "other"))
+    # pairs of tiles are dealt to tasks; those of small blocks share a key
     rows = rows.select(
-        F.when(F.col("mains") == 0, F.pmod(F.xxhash64("block"), F.lit(cells))).otherwise(pair).alias("key"), "block", (F.col("tile") < F.col("other")).alias("left"), (F.col("tile") != F.col("other")).alias("two"),
+        F.when(last == 0, F.pmod(F.xxhash64("block"), F.lit(cells))).otherwise(pair).alias("key"), "block", (F.col("tile") < F.col("other")).alias("left"), (F.col("tile") != F.col("other")).alias("two"),
         "doc_id", "n", "label", "set1", "all", "set3",
     )
     labels = components(_links(rows, percent).unionByName(links))

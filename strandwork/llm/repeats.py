@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from .blocks import batched, counts_of, one_of_each, repeated_keys
+from .blocks import TASK_BYTES, batched, counts_of, one_of_each, repeated_keys
 from .kernels import U64, chunks, mix, prefix_hash, release, slice_hash, spread, text_buffers
 
 GRAM = 32
 CELL_ROWS = 1 << 13
-HOT = 1000
+SHARE = 1000  # occurrences of an anchor that one share of its places is meant for
 OCCURRENCES = "cell int, anchor long, rel int, doc_id long, lo int, batch int, share int, turn int, bytes binary"
 SPANS = "doc_id long, batch int, starts array<int>, ends array<int>"
 
@@ -169,11 +169,12 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[first], end[np.append(first[1:], len(start)) - 1]
 
 
-def repeated_spans(part: DataFrame, total: int, length: int = 100, hot: int = HOT) -> DataFrame:
+def repeated_spans(part: DataFrame, total: int, length: int = 100, occurrences_a_share: int = SHARE) -> DataFrame:
     """(doc_id, batch, starts, ends) of bytes under windows that start earlier too; a doc_id has several rows.
 
-    An anchor that the corpus holds over ``hot`` times is compared in several shares, each with its part of the
-    places that the anchor can have in a window, so its windows are sorted by several tasks.
+    The places that an anchor can have in a window are dealt to shares, more of them the more often the corpus holds the
+    anchor (1 to all ``length`` - 31 places), so the windows of a very common one are sorted by several tasks. Windows that are
+    equal have their anchor at the same place, so every share settles its windows for good, and their number changes no answer.
     """
     answers, bits = repeated_keys(part, lambda t: [x[0] for x in anchors(t, length)], total * 2 // (length - GRAM + 2))
     cells = max(1, total // (40 * CELL_ROWS))
@@ -199,7 +200,7 @@ def repeated_spans(part: DataFrame, total: int, length: int = 100, hot: int = HO
             else:
                 covered.append(i)
         kept = np.array(keep, np.int64)
-        share = np.clip(df[often][kept] // hot, 1, length - GRAM + 1).astype(np.int64)
+        share = np.clip(df[often][kept] // occurrences_a_share, 1, length - GRAM + 1).astype(np.int64)
         turn = spread(np.zeros(len(kept), np.int64), share)
         kept, share = np.repeat(kept, share), np.repeat(share, share)
         keys = np.where(turn > 0, mix(keys[kept] + turn.astype(U64), 7), keys[kept])  # shares are anchors of their own
@@ -289,7 +290,7 @@ def repeated_spans(part: DataFrame, total: int, length: int = 100, hot: int = HO
         return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "batch": pa.array(out["batch"], pa.int32()), **lists})
 
     found = part.select("batch", "doc_id", "text").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(occurrences, OCCURRENCES)
-    return found.groupBy("cell").applyInArrow(spans, SPANS)
+    return found.repartition(max(1, -(-total // TASK_BYTES)), "cell").groupBy("cell").applyInArrow(spans, SPANS)
 
 
 def _by_document(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:

@@ -170,7 +170,7 @@ def test_repeats_in_shares(docs, texts):
     from strandwork.llm.blocks import batched
 
     part, _, total = batched(docs)
-    got = repeats._by_document(repeats.repeated_spans(part, total, hot=2).toArrow())
+    got = repeats._by_document(repeats.repeated_spans(part, total, occurrences_a_share=2).toArrow())
     want = brute.repeats(texts)
     assert {d: (int((e - s).sum()), len(s)) for d, (s, e) in got.items()} == {d: x[1:3] for d, x in want.items() if x[1]}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import re
 
 from pyspark.sql import DataFrame, functions as F
@@ -129,6 +131,19 @@ def statistics(graph: Graph) -> DataFrame:
     return count(graph.nodes, "node").unionByName(count(graph.edges, "edge"))
 
 
+def totals(graph: Graph) -> DataFrame:
+    """One row of counts: nodes, edges, warnings, files that were read and that couldn't be, services, boundaries crossed."""
+    read = graph.nodes.where("type in ('MODULE', 'JS_MODULE') and file_path is not null")
+    failed = graph.warnings.where(F.col("code").isin("SYNTAX_ERROR", "DECODE_ERROR", "IO_ERROR", "PARSE_ERROR", "JS_PARSE_ERROR")) if graph.warnings is not None else None
+    rows = [
+        (graph.nodes, F.count("*"), "total_nodes"), (graph.edges, F.count("*"), "total_edges"), (read, F.countDistinct("file_path"), "parsed_files"),
+        (graph.nodes.where("type = 'SERVICE'"), F.count("*"), "service_count"), (graph.edges.where("type = 'CROSSES_COMPONENT_BOUNDARY'"), F.count("*"), "cross_component_edge_count"),
+        *([(graph.warnings, F.count("*"), "warning_count"), (failed, F.countDistinct("path"), "failed_files")] if failed is not None else []),
+    ]
+    counts = [df.agg(n.alias(name)) for df, n, name in rows]  # of one row each
+    return reduce(lambda a, b: a.join(b), counts)
+
+
 def summary(graph: Graph, top: int = 5) -> str:
     """A sentence for each of totals, largest node and edge types, and doubtful edges."""
     rows = statistics(graph).collect()  # a row for each type

@@ -46,11 +46,13 @@ def distances(steps: DataFrame, roots: DataFrame, max_depth: int | None, nearest
     seen = frontier = materialize(roots.select("root", "id").distinct().withColumn("depth", F.lit(0)), "frontier")
     for d in count(1) if max_depth is None else range(1, max_depth + 1):
         far = frontier.join(steps, frontier.id == steps.near).select("root", F.col("far").alias("id")).distinct()
-        new = far.join(seen.select("root", "id"), ["root", "id"], "left_anti")
-        if nearest is not None:
-            full = seen.groupBy("id").agg(F.count("*").alias("had"))
-            place = F.row_number().over(Window.partitionBy("id").orderBy("root"))
-            new = new.withColumn("place", place).join(full, "id", "left").where(F.col("place") <= nearest - F.coalesce("had", F.lit(0))).select("root", "id")
+        if nearest is None:
+            new = far.join(seen.select("root", "id"), ["root", "id"], "left_anti")
+        else:  # one exchange by id: what was there goes first, then the smallest roots until there are ``nearest``
+            both = seen.select("root", "id", F.lit(0).alias("late")).unionByName(far.select("root", "id", F.lit(1).alias("late")))
+            both = both.groupBy("id", "root").agg(F.min("late").alias("late"))
+            place = F.row_number().over(Window.partitionBy("id").orderBy("late", "root"))
+            new = both.withColumn("place", place).where((F.col("late") == 1) & (F.col("place") <= nearest)).select("root", "id")
         new = materialize(new.withColumn("depth", F.lit(d)), "frontier")
         if new.isEmpty():
             break

@@ -74,34 +74,34 @@ def merge_fold(spark, sf_dir):
 
 @query(_walk_sql("SELECT 'region:0' AS id", 6, "source_id", "target_id") + " SELECT n.id, n.type, w.d AS depth FROM w JOIN nodes n ON n.id = w.id WHERE w.d > 0")
 def impact_downstream(spark, sf_dir):
-    return traverse.impact(fk_graph(spark, sf_dir), "region:0").nodes.select("id", "type", "depth")
+    return traverse.impact(fk_graph(spark, sf_dir, stored=True), "region:0").nodes.select("id", "type", "depth")
 
 
 @query(_walk_sql("SELECT 'region:0' AS id", 4, "source_id", "target_id") + " SELECT e.id, e.type FROM e JOIN w ON w.id = e.source_id WHERE w.d < 4")
 def impact_edges(spark, sf_dir):
-    return traverse.impact(fk_graph(spark, sf_dir), "region:0", max_depth=4).edges.select("id", "type")
+    return traverse.impact(fk_graph(spark, sf_dir, stored=True), "region:0", max_depth=4).edges.select("id", "type")
 
 
 @query(_walk_sql("SELECT 'supplier:1' AS id", 6, "target_id", "source_id") + " SELECT n.id, n.type, w.d AS depth FROM w JOIN nodes n ON n.id = w.id WHERE w.d > 0")
 def impact_upstream(spark, sf_dir):
-    return traverse.impact(fk_graph(spark, sf_dir), "supplier:1", direction="upstream").nodes.select("id", "type", "depth")
+    return traverse.impact(fk_graph(spark, sf_dir, stored=True), "supplier:1", direction="upstream").nodes.select("id", "type", "depth")
 
 
 @query(_walk_sql("SELECT 'nation:3' AS id", 5, "source_id", "target_id", "certainty >= 2 AND type IN ('CONTAINS', 'CALLS', 'IMPORTS')") + " SELECT n.id, n.file_path, w.d AS depth FROM w JOIN nodes n ON n.id = w.id WHERE w.d > 0 AND n.type IN ('FUNCTION', 'METHOD') AND (n.file_path IS NULL OR n.file_path GLOB '*/[1-4]*.py')")
 def impact_filtered(spark, sf_dir):
-    r = traverse.impact(fk_graph(spark, sf_dir), "nation:3", max_depth=5, include_ambiguous=False, edge_types=["contains", "calls", "IMPORTS"], node_types=["function", "METHOD"], file_pattern="*/[1-4]*.py")
+    r = traverse.impact(fk_graph(spark, sf_dir, stored=True), "nation:3", max_depth=5, include_ambiguous=False, edge_types=["contains", "calls", "IMPORTS"], node_types=["function", "METHOD"], file_pattern="*/[1-4]*.py")
     return r.nodes.select("id", "file_path", "depth")
 
 
 @query(_walk_sql("SELECT id FROM nodes WHERE id IN ('customer:1', 'customer:2', 'nation:3')", 6, "source_id", "target_id") + " SELECT n.id, min(w.d) AS depth FROM w JOIN nodes n ON n.id = w.id WHERE w.d > 0 GROUP BY n.id")
 def batch_impact(spark, sf_dir):
-    g = fk_graph(spark, sf_dir)
+    g = fk_graph(spark, sf_dir, stored=True)
     return traverse.batch_impact(g, g.nodes.where(F.col("id").isin("customer:1", "customer:2", "nation:3")).select("id")).nodes.select("id", "depth")
 
 
 @query(_walk_sql("SELECT id FROM nodes WHERE file_path = 'part/7.py'", 6, "target_id", "source_id") + " SELECT DISTINCT n.id, n.type FROM w JOIN nodes n ON n.id = w.id WHERE w.d > 0")
 def dependents(spark, sf_dir):
-    return traverse.dependents(fk_graph(spark, sf_dir), "part/7.py").select("id", "type")
+    return traverse.dependents(fk_graph(spark, sf_dir, stored=True), "part/7.py").select("id", "type")
 
 
 _PATHS = """WITH RECURSIVE {graph}, pair AS (SELECT source_id, target_id, max(id) AS edge_id, min(id) AS first FROM edges GROUP BY 1, 2),
@@ -201,7 +201,7 @@ def unused_by_file(spark, sf_dir):
 @query("""WITH {graph}, o AS (SELECT * FROM nodes WHERE file_path = 'customer/3.py'), c AS (SELECT e.source_id, array_to_string(list(DISTINCT n.qualified_name ORDER BY n.qualified_name), ',') AS calls FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.type = 'CALLS' GROUP BY 1)
 SELECT o.id, o.line_number, coalesce(c.calls, '') AS calls FROM o LEFT JOIN c ON c.source_id = o.id""")
 def file_context(spark, sf_dir):
-    return lookup.file_context(fk_graph(spark, sf_dir), "customer/3.py").select("id", "line_number", F.coalesce(F.array_join("calls", ","), F.lit("")).alias("calls"))
+    return lookup.file_context(fk_graph(spark, sf_dir, stored=True), "customer/3.py").select("id", "line_number", F.coalesce(F.array_join("calls", ","), F.lit("")).alias("calls"))
 
 
 @query("""WITH {graph}, o AS (SELECT id FROM nodes WHERE file_path = 'part/5.py') SELECT DISTINCT 'imported_by' AS kind, n.file_path AS name FROM edges e JOIN nodes n ON n.id = e.source_id WHERE e.type IN ('IMPORTS', 'IMPORTS_FROM') AND e.target_id IN (SELECT id FROM o) AND n.file_path <> 'part/5.py'""")
@@ -257,7 +257,7 @@ SELECT id, 'changed' AS tier FROM changed UNION ALL SELECT id, 'immediate' FROM
 
 @query(_DIFF)
 def diff_impact(spark, sf_dir):
-    d = diff.diff_impact(fk_graph(spark, sf_dir), diff.regions(spark, _CHANGES))
+    d = diff.diff_impact(fk_graph(spark, sf_dir, stored=True), diff.regions(spark, _CHANGES))
     tier = lambda df, name: df.select("id", F.lit(name).alias("tier"))
     return tier(d.changed, "changed").unionByName(tier(d.immediate, "immediate")).unionByName(tier(d.transitive, "transitive"))
 

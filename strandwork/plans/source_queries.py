@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandwork.graph import Graph
+from strandwork.operators import lookup
 from strandwork.operators.diff import parse_diff
 from strandwork.plans.build import assemble, extract
 from strandwork.plans.queries import ORACLE, QUERIES
@@ -335,6 +336,12 @@ def source_edge_names(spark):
     return graph_of(spark, SERVICES).edges.where("type in ('BELONGS_TO_SERVICE', 'CROSSES_COMPONENT_BOUNDARY')").select(F.col("display_name").alias("shown"))
 
 
+@expects("total_nodes, total_edges, parsed_files, failed_files, warning_count, service_count, cross_component_edge_count", [(17, 19, 4, 1, 1, 5, 4)])
+def source_totals(spark):
+    t = lookup.totals(graph_of(spark, SERVICES | {"api/bad.py": "def (:"}))
+    return t.select(*[F.col(c).cast("int").alias(c) for c in t.columns])
+
+
 @expects("path, kind, excluded", [
     ("a.py", "python", False), ("b.js", "js", False), ("c.tsx", "js", False), ("d.txt", None, False), ("setup.py", "config", False), ("deep/Dockerfile", "config", False), ("pyproject.toml", "config", False), ("node_modules", None, True), ("x/__pycache__", None, True),
     ("pkg.egg-info", None, True), ("build", None, True), ("src/gen/out.py", "python", True), ("src/gen", None, True), ("gen/out.py", "python", False), ("docs/a.py", "python", True), ("test_a.py", "python", True), ("deep/test_b.py", "python", True), ("attest_a.py", "python", False),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandwork.graph import Graph
+from strandwork.session import materialize
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 
@@ -45,11 +46,14 @@ def for_oracle(sql: str) -> str:
     return sql.format(**{t: t for t in TABLES})
 
 
-def fk_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The foreign-key graph: nations' regions, customers, orders, parts, suppliers."""
+def fk_graph(spark: SparkSession, sf_dir: str, stored: bool = False) -> Graph:
+    """The foreign-key graph: nations' regions, customers, orders, parts, suppliers.
+
+    stored: its edges are written first, as a scan leaves them, for plans that read them several times.
+    """
     nodes = spark.sql(on_spark(NODE_SQL, sf_dir)).withColumn("column", F.lit(None).cast("int")).withColumn("metadata", F.create_map().cast("map<string,string>"))
     edges = spark.sql(on_spark(EDGE_SQL, sf_dir)).withColumn("file_path", F.lit(None).cast("string")).withColumn("line_number", F.lit(None).cast("int")).withColumn("metadata", F.create_map().cast("map<string,string>"))
-    return Graph(nodes, edges)
+    return Graph(nodes, materialize(edges, "edges") if stored else edges)
 
 
 def event_graph(spark: SparkSession, sf_dir: str) -> Graph:

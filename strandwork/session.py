@@ -16,18 +16,31 @@ _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, a laptop) a local folder is made and set.
+    Only in local mode (tests, a laptop) a folder of this machine is made and set where that is unset; executors
+    of a cluster wouldn't see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="strandwork-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/strandwork/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{scratch_root(spark)}/strandwork/{name}-{uuid.uuid4().hex}"
+    """A path of its own below the application's folder in the shared folder."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application has written to the shared folder; results that aren't stored yet can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -57,5 +70,8 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the text that one Arrow batch holds: rows of long documents are many times the usual size."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bound the text that one Arrow batch holds: rows of long documents are many times the usual size. A session whose
+    setting isn't Spark's own keeps it."""
+    setting, spark_default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(setting, spark_default) == spark_default:
+        spark.conf.set(setting, str(rows))

@@ -62,6 +62,15 @@ def refresh(spark: SparkSession, options: ScanOptions, store: Store, added=()) -
     return assemble(facts, configs.topology(configs.Folder(os.path.realpath(options.root)), [p for p, k in files if k == "config"]), warnings)
 
 
+def configs_changed(spark: SparkSession, options: ScanOptions, store: Store) -> bool:
+    """Whether a configuration file has come, gone or changed since the store was written; true for an empty store."""
+    before = store.read()
+    if before is None:
+        return True
+    now = sources_table(spark, options)[0].where("kind = 'config'").withColumn("sha256", F.sha2("content", 256)).select("path", "sha256", "mtime")
+    return not manifests.diff(before[1].where("kind = 'config'"), now).where("status <> 'unchanged'").isEmpty()
+
+
 def watch(changes: DataFrame, options: ScanOptions, store: Store, done: Callable[[Graph, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Refresh once for each micro-batch of a stream of manifest rows (path, ..) that has any. ``every``: the trigger's
     interval, which is the debounce; without it whatever is there is processed and the query ends."""

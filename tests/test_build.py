@@ -142,6 +142,46 @@ def test_refresh_equals_full_build(spark, tmp_path):
     assert rows(refresh(spark, options, store)) == rows(build(spark, options))
 
 
+def test_configuration_changes_are_seen(spark, tmp_path):
+    from strandwork.streaming.refresh import configs_changed
+
+    r = str(tmp_path / "t")
+    write(r, {"a.py": "x = 1\n", "Procfile": "web: run\n"})
+    store, options = Store(spark, str(tmp_path / "s")), ScanOptions(r)
+    assert configs_changed(spark, options, store)
+    refresh(spark, options, store)
+    write(r, {"a.py": "x = 2\n"})
+    assert not configs_changed(spark, options, store)
+    write(r, {"Procfile": "web: run --fast\n"})
+    assert configs_changed(spark, options, store)
+
+
+def test_unreadable_files_are_warnings(spark, tmp_path):
+    r = str(tmp_path / "t")
+    write(r, {"a.py": "def f():\n    pass\n", "docker-compose.yml": "services: [\n"})
+    with open(f"{r}/b.py", "wb") as f:
+        f.write(b"\xff\xfe")
+    with open(f"{r}/.strandworkignore", "wb") as f:
+        f.write(b"caf\xe9*\nskip/\n")
+    os.makedirs(f"{r}/skip")
+    write(r, {"skip/no.py": "x = 1\n"})
+    os.mkfifo(f"{r}/pipe.txt")
+    os.symlink(f"{r}/nothing", f"{r}/c.py")
+    g = build(spark, ScanOptions(r))
+    assert sorted((w.code, os.path.basename(w.path)) for w in g.warnings.collect()) == [("BROKEN_SYMLINK", "c.py"), ("DECODE_ERROR", "b.py")]
+    assert {n.qualified_name for n in g.nodes.where("file_path is not null").collect()} == {"a", "a::f"}
+
+
+def test_scratch_is_cleared(spark):
+    from strandwork.session import clear_scratch, materialize, scratch
+
+    df = materialize(spark.range(5), "some")
+    assert df.count() == 5 and spark.sparkContext.applicationId in scratch(spark, "x")
+    clear_scratch(spark)
+    with pytest.raises(Exception):
+        df.count()
+
+
 def test_watch(spark, tmp_path):
     r = str(tmp_path / "t")
     write(r, {"a.py": "def f():\n    pass\n"})

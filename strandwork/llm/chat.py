@@ -30,39 +30,43 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)\\(.)", "$1")
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """(conv_id, leaf, msg_id, up): every message on the way from each leaf (up = 0) to its root.
+def climbs(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """(jumps, totals). jumps[k]: (conv_id, msg_id, above), the message 2**k replies further up; totals: (conv_id, msg_id, s, n),
+    the sum of the scores (null: 0) and the number of the messages from each one up to its root.
 
-    messages: conv_id, msg_id (unique in its conversation), parent_id (null or unknown: a root). Replies that
-    form a ring have no leaf and give no path.
+    messages: conv_id, msg_id (unique in its conversation), parent_id (null or unknown: a root), score. Both double their reach
+    each round. A message whose way up runs into a ring has no root and no total.
     """
-    known = messages.select("conv_id", "msg_id")
-    up = messages.select("conv_id", "msg_id", F.col("parent_id").alias("above"))
-    real = known.select("conv_id", F.col("msg_id").alias("above"))
-    jump = materialize(up.join(real, ["conv_id", "above"]).select("conv_id", "msg_id", "above"), "jump")
-    jumps, n = [], messages.count()
-    while jump.limit(1).count() and 1 << len(jumps) <= n:
+    real = messages.select("conv_id", F.col("msg_id").alias("above"))
+    up = messages.select("conv_id", "msg_id", F.col("parent_id").alias("above"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("s"), F.lit(1).cast("long").alias("n"))
+    state = up.drop("above").join(up.join(real, ["conv_id", "above"]).select("conv_id", "msg_id", "above"), ["conv_id", "msg_id"], "left")
+    state, jumps, n = materialize(state, "climb"), [], messages.count()
+    while 1 << len(jumps) <= n:
+        jump = state.where("above is not null").select("conv_id", "msg_id", "above")
+        if jump.isEmpty():
+            break
         jumps.append(jump)
-        next_ = jump.select("conv_id", F.col("msg_id").alias("above"), F.col("above").alias("further"))
-        jump = materialize(jump.join(next_, ["conv_id", "above"]).select("conv_id", "msg_id", F.col("further").alias("above")), "jump")
-    parents = messages.select("conv_id", F.col("parent_id").alias("msg_id")).where("msg_id is not null").distinct()
-    found = known.join(parents, ["conv_id", "msg_id"], "left_anti").select("conv_id", F.col("msg_id").alias("leaf"), "msg_id", F.lit(0).cast("long").alias("up"))
-    for k in range(len(jumps) - 1, -1, -1):
-        more = found.join(jumps[k], ["conv_id", "msg_id"]).select("conv_id", "leaf", F.col("above").alias("msg_id"), (F.col("up") + (1 << k)).alias("up"))
-        found = materialize(found.unionByName(more), "paths")
-    return found
+        then = state.select("conv_id", F.col("msg_id").alias("above"), F.col("above").alias("further"), F.col("s").alias("s2"), F.col("n").alias("n2"))
+        state = state.join(then, ["conv_id", "above"], "left").select("conv_id", "msg_id", F.col("further").alias("above"), (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"))
+        state = materialize(state, "climb")
+    return jumps, state.where("above is null").select("conv_id", "msg_id", "s", "n")
 
 
 def best_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     """(conv_id, rank, msg_id, role, text, depth) of the ``keep`` best branches of each conversation.
 
-    A branch's score is the mean of its messages' scores (null counts as 0); of equal ones the longer, then the smaller leaf.
+    A branch ends at a message without replies. Its score is the mean of its messages' scores (null counts as 0); of equal ones the
+    longer, then the smaller leaf. Branches are ranked by their totals; only those that are kept are spelled out.
     """
-    every = paths(messages)
-    full = every.join(messages.select("conv_id", "msg_id", "role", "text", "score"), ["conv_id", "msg_id"])
-    rank = every.join(messages.select("conv_id", "msg_id", "score"), ["conv_id", "msg_id"]).groupBy("conv_id", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("s"), F.count("*").alias("n"))
-    rank = rank.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("s"), F.desc("n"), "leaf"))).where(F.col("rank") <= keep)
-    return full.join(rank.select("conv_id", "leaf", "rank", "n"), ["conv_id", "leaf"]).select("conv_id", "rank", "msg_id", "role", "text", (F.col("n") - 1 - F.col("up")).alias("depth"))
+    jumps, totals = climbs(messages)
+    parents = messages.select("conv_id", F.col("parent_id").alias("msg_id")).where("msg_id is not null").distinct()
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc(F.col("s") / F.col("n")), F.desc("n"), "msg_id"))
+    kept = totals.join(parents, ["conv_id", "msg_id"], "left_anti").withColumn("rank", rank).where(F.col("rank") <= keep)
+    found = materialize(kept.select("conv_id", "rank", "msg_id", (F.col("n") - 1).alias("depth")), "paths")
+    for k in range(len(jumps) - 1, -1, -1):
+        more = found.join(jumps[k], ["conv_id", "msg_id"]).select("conv_id", "rank", F.col("above").alias("msg_id"), (F.col("depth") - (1 << k)).alias("depth"))
+        found = materialize(found.unionByName(more), "paths")
+    return found.join(messages.select("conv_id", "msg_id", "role", "text"), ["conv_id", "msg_id"]).select("conv_id", "rank", "msg_id", "role", "text", "depth")
 
 
 def format_paths(turns: DataFrame) -> DataFrame:
@@ -79,9 +83,16 @@ def format_paths(turns: DataFrame) -> DataFrame:
 
 
 def format_trees(messages: DataFrame, keep: int = 1) -> DataFrame:
-    """The ``keep`` best paths of each conversation, formatted. Rows without conv_id or msg_id are left out."""
+    """The ``keep`` best paths of each conversation, formatted.
+
+    Rows without conv_id or msg_id are left out; of rows that repeat a msg_id of their conversation the smallest
+    counts (by parent, role, text and score, null first); messages that reply into a ring are on no path; null
+    roles and texts are empty; texts are formatted whole; an empty table gives no row; other columns aren't read.
+    """
     m = messages.where("conv_id is not null and msg_id is not null")
-    return format_paths(best_paths(m, keep))
+    first = F.min(F.struct(*[F.struct(F.col(c).isNotNull().alias("given"), F.col(c).alias("it")).alias(c) for c in ("parent_id", "role", "text", "score")])).alias("x")
+    m = m.groupBy("conv_id", "msg_id").agg(first)
+    return format_paths(best_paths(m.select("conv_id", "msg_id", *[F.col(f"x.{c}.it").alias(c) for c in ("parent_id", "role", "text", "score")]), keep))
 
 
 def parsed(formatted: DataFrame) -> DataFrame:

@@ -166,7 +166,13 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept), a row for each row of ``docs``."""
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept), a row for each row of ``docs``.
+
+    A null, empty or wordless text has zeros and fails the base rules; texts of any length are counted whole; repeated rows and
+    rows without doc_id are reported each on their own, but rows without doc_id teach nothing; an empty table gives no row; without labels
+    what passes the base rules is kept; other columns aren't read, whatever their names. A list has at most MAX_RULES rules
+    of at most MAX_CONDITIONS conditions, so that it can be read.
+    """
     stats = materialize(statistics(docs.select("doc_id", "text")), "statistics")
     rules = learn(stats, labels)
     return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))

@@ -197,6 +197,13 @@ def test_quality_rules(spark, docs, texts, empty):
     assert decision_list.quality_report(docs, labels.limit(0)).where("kept = base_failed").count() == 0
 
 
+def test_quality_rules_of_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    got = decision_list.quality_report(odd, labels).collect()
+    assert sorted((x.doc_id is not None, x.doc_id or 0, x.n_words) for x in got) == sorted((d is not None, d or 0, brute.statistics(t)[0]) for d, t in [(r.doc_id, r.text) for r in odd.collect()])
+    assert all(x.base_failed and not x.kept for x in got if not x.n_words)
+
+
 def test_quality_rules_reject_bad_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = decision_list.quality_report(docs, labels).join(labels, "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
@@ -536,6 +543,28 @@ def test_chat_formatting_round_trip(spark):
     assert chat.conversation_digests(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_of_random_trees(spark):
+    """Ranked branches against walking every one; repeated messages, rings, extra columns and a long text."""
+    r = random.Random(21)
+    rows = []
+    for conv in range(12):
+        for m in range(1, r.randrange(2, 30)):
+            rows.append((conv, m, r.choice([None, *range(1, m)]) if m > 1 else None, r.choice(["user", "assistant"]), f"text {conv} {m}" * (9000 if m == 5 else 1), r.choice([None, 0.25, 0.5, 1.0]), "x"))
+    rows += [rows[0], (50, 1, 2, "user", "ring", 1.0, "x"), (50, 2, 1, "user", "ring", 1.0, "x"), (50, 3, 1, "user", "into", 1.0, "x"), (None, 1, None, "user", "lost", 1.0, "x"), (51, None, None, "user", "lost", 1.0, "x")]
+    got = {(x.conv_id, x.rank): [t.text for t in x.turns] for x in chat.parsed(chat.format_trees(spark.createDataFrame(rows, "conv_id long, msg_id long, parent_id long, role string, text string, score double, rank string"), keep=3)).collect()}
+    want = {}
+    for conv in range(12):
+        m = {x[1]: x for x in rows if x[0] == conv}
+        branches = []
+        for leaf in set(m) - {x[2] for x in m.values()}:
+            way = [leaf]
+            while m[way[-1]][2] in m:
+                way.append(m[way[-1]][2])
+            branches.append((-sum(m[i][5] or 0 for i in way) / len(way), -len(way), leaf, way[::-1]))
+        want |= {(conv, k): [m[i][4] for i in b[3]] for k, b in enumerate(sorted(branches)[:3], 1)}
+    assert got == want
+
+
 def test_chat_ranks_branches(spark):
     rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "bad", 0.1), (1, 3, 1, "assistant", "good", 0.9), (1, 4, 3, "user", "more", 0.5), (1, 5, 4, "assistant", "end", None), (2, 7, 99, "user", "lone", 1.0)]
     m = spark.createDataFrame(rows, "conv_id long, msg_id long, parent_id long, role string, text string, score double")

@@ -39,16 +39,17 @@ def climbs(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """
     real = messages.select("conv_id", F.col("msg_id").alias("above"))
     up = messages.select("conv_id", "msg_id", F.col("parent_id").alias("above"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("s"), F.lit(1).cast("long").alias("n"))
-    state = up.drop("above").join(up.join(real, ["conv_id", "above"]).select("conv_id", "msg_id", "above"), ["conv_id", "msg_id"], "left")
-    state, jumps, n = materialize(state, "climb"), [], messages.count()
+    known = up.join(real.withColumn("real", F.lit(True)), ["conv_id", "above"], "left").withColumn("above", F.when(F.col("real"), F.col("above")))
+    state, jumps, n = materialize(known.select("conv_id", "msg_id", "above", "s", "n"), "climb"), [], messages.count()
     while 1 << len(jumps) <= n:
         jump = state.where("above is not null").select("conv_id", "msg_id", "above")
         if jump.isEmpty():
             break
         jumps.append(jump)
         then = state.select("conv_id", F.col("msg_id").alias("above"), F.col("above").alias("further"), F.col("s").alias("s2"), F.col("n").alias("n2"))
-        state = state.join(then, ["conv_id", "above"], "left").select("conv_id", "msg_id", F.col("further").alias("above"), (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"))
-        state = materialize(state, "climb")
+        # those that are at their root are done
+        more = state.where("above is not null").join(then, ["conv_id", "above"]).select("conv_id", "msg_id", F.col("further").alias("above"), (F.col("s") + F.col("s2")).alias("s"), (F.col("n") + F.col("n2")).alias("n"))
+        state = materialize(state.where("above is null").select("conv_id", "msg_id", "above", "s", "n").unionByName(more), "climb")
     return jumps, state.where("above is null").select("conv_id", "msg_id", "s", "n")
 
 

@@ -43,6 +43,17 @@ def search(graph: Graph, query: str, node_types: list[str] | None = None, file_p
     return n.withColumn("score", score).where("score is not null").orderBy(F.desc("score"), "qualified_name", order_column(n)).limit(limit)
 
 
+def focus_search(graph: Graph, text: str) -> DataFrame:
+    """Nodes that hold the text in the display name, the qualified name or the path of their file; case doesn't count."""
+    low = F.lit(text.lower())
+    return graph.nodes.where(reduce(lambda a, b: a | b, (F.contains(F.lower(F.coalesce(c, F.lit(""))), low) for c in ("display_name", "qualified_name", "file_path"))))
+
+
+def extent(nodes: DataFrame) -> DataFrame:
+    """One row of how many nodes and how many different files; nodes without a file count as nodes only."""
+    return nodes.agg(F.countDistinct("id").alias("node_count"), F.countDistinct(F.nullif("file_path", F.lit(""))).alias("file_count"))
+
+
 def nodes_of(graph: Graph, types: list[str] | None = None) -> DataFrame:
     return graph.nodes.where(F.col("type").isin(types)) if types else graph.nodes
 
@@ -145,11 +156,15 @@ def totals(graph: Graph) -> DataFrame:
 
 
 def summary(graph: Graph, top: int = 5) -> str:
-    """A sentence for each of totals, largest node and edge types, and doubtful edges."""
+    """A sentence for each of totals with the largest node and edge types, services, warnings where they are known, and doubtful edges."""
     rows = statistics(graph).collect()  # a row for each type
     low = graph.edges.where(F.col("certainty") <= AMBIGUOUS).count()
     parts = []
     for kind in ("node", "edge"):
         of = sorted(((r["n"], r["type"]) for r in rows if r["kind"] == kind), key=lambda x: (-x[0], x[1]))
         parts.append(f"{sum(n for n, _ in of)} {kind}s: " + ", ".join(f"{n} {t}" for n, t in of[:top]))
+    t = totals(graph).first().asDict()
+    parts.append(f"{t['service_count']} services, {t['cross_component_edge_count']} edges across components")
+    if "warning_count" in t:
+        parts.append(f"{t['warning_count']} warnings, {t['failed_files']} files that couldn't be read")
     return ". ".join([*parts, f"{low} unresolved or ambiguous edges"]) + "."

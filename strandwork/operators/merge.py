@@ -8,8 +8,12 @@ from strandwork.schema import id_column
 
 
 def folded_metadata(metadata: str = "metadata", seq: str = "seq") -> Column:
-    """Maps merged in order of seq: a key that comes with another value keeps both, joined by a bar."""
-    maps = F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.map_entries(metadata).alias("m")))), lambda x: F.map_from_entries(x["m"]))
+    """Maps merged in order of seq: a key that comes with another value keeps both, joined by a bar.
+
+    Only emissions that carry metadata are collected: unresolved names are emitted with none, and from every file.
+    """
+    carried = F.when(F.size(metadata) > 0, F.struct(F.col(seq).alias("s"), F.map_entries(metadata).alias("m")))
+    maps = F.transform(F.array_sort(F.collect_list(carried)), lambda x: F.map_from_entries(x["m"]))
     both = lambda k, a, b: F.when(b.isNull(), a).when(a.isNull() | (a == b), b).otherwise(F.concat(a, F.lit(" | "), b))
     return F.aggregate(maps, F.create_map().cast("map<string,string>"), lambda acc, m: F.map_zip_with(acc, F.coalesce(m, F.create_map().cast("map<string,string>")), both))
 

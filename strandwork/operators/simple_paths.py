@@ -11,6 +11,7 @@ from strandwork.operators.traverse import distances, eligible
 from strandwork.session import materialize
 
 PATHS, PATH_DEPTH = 20, 8
+AT_ONCE = 50_000  # walks extended in one round
 
 
 def collapsed(edges: DataFrame) -> DataFrame:
@@ -19,11 +20,14 @@ def collapsed(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).agg(F.max_by("id", at).alias("edge_id"), F.min(at).alias("first"))
 
 
-def find_paths(graph: Graph, source: str, target: str, max_depth: int = PATH_DEPTH, edge_types: list[str] | None = None, node_types: list[str] | None = None, keep: int = PATHS) -> DataFrame:
+def find_paths(graph: Graph, source: str, target: str, max_depth: int = PATH_DEPTH, edge_types: list[str] | None = None, node_types: list[str] | None = None, keep: int = PATHS, at_once: int = AT_ONCE) -> DataFrame:
     """(path_id, node_ids, edge_ids, hop_count) of the first ``keep`` simple paths, in depth-first order of the edges.
 
     node_types limits the inner nodes. Only edges on some walk of at most ``max_depth`` edges from source to target are
     followed: the distances from both ends bound what a path can still need. Equal ends give no path.
+
+    The first ``at_once`` open walks in that order are extended in a round, so a round's size doesn't grow with the number of
+    walks; what comes after the ``keep``-th path found so far is dropped, since extending a walk only moves it back.
     """
     spark = graph.spark
     empty = spark.createDataFrame([], "path_id int, node_ids array<string>, edge_ids array<string>, hop_count int")
@@ -38,21 +42,31 @@ def find_paths(graph: Graph, source: str, target: str, max_depth: int = PATH_DEP
     bwd = distances(edges.select(F.col("dst").alias("near"), F.col("src").alias("far")), root(target), max_depth)
     on = edges.join(fwd.select(F.col("id").alias("src"), F.col("depth").alias("f")), "src").join(bwd.select(F.col("id").alias("dst"), F.col("depth").alias("b")), "dst")
     on = materialize(on.where((F.col("f") + 1 + F.col("b") <= max_depth) & (F.col("dst") != source)).select("src", "dst", "edge_id", "first", "b"), "walkable")
-    walks = spark.createDataFrame([(source, [source])], "at string, node_ids array<string>").select("at", "node_ids", F.array().cast("array<string>").alias("edge_ids"), F.array().cast(f"array<{dict(on.dtypes)['first']}>").alias("rank"))
-    done = []
-    for d in range(1, max_depth + 1):
-        step = walks.join(on, walks.at == on.src).where(~F.array_contains("node_ids", F.col("dst")) & (F.lit(d) + F.col("b") <= max_depth))
-        walks = materialize(step.select(F.col("dst").alias("at"), F.concat("node_ids", F.array("dst")).alias("node_ids"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"), F.concat("rank", F.array("first")).alias("rank")), "walks")
-        if walks.isEmpty():
+    ranks = f"array<{dict(on.dtypes)['first']}>"
+    walks = spark.createDataFrame([(source, [source])], "at string, node_ids array<string>").select("at", "node_ids", F.array().cast("array<string>").alias("edge_ids"), F.array().cast(ranks).alias("rank"))
+    waiting, best = [], []
+    while True:
+        step = walks.join(on, walks.at == on.src).where(~F.array_contains("node_ids", F.col("dst")) & (F.size("edge_ids") + 1 + F.col("b") <= max_depth))
+        step = step.select(F.col("dst").alias("at"), F.concat("node_ids", F.array("dst")).alias("node_ids"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"), F.concat("rank", F.array("first")).alias("rank"))
+        waiting.append(materialize(step, "walks"))
+        ends = waiting[-1].where(F.col("at") == target).orderBy("rank").limit(keep)
+        best = sorted(best + [(r.rank, r.node_ids, r.edge_ids) for r in ends.collect()])[:keep]  # at most ``keep`` paths
+        open_walks = reduce(DataFrame.unionByName, waiting).where(F.col("at") != target)
+        if len(best) == keep:  # a walk's completions all come after it
+            open_walks = open_walks.where(F.col("rank") < F.lit(best[-1][0]).cast(ranks))
+        first = materialize(open_walks.orderBy("rank").limit(at_once), "walks")
+        n, last = first.agg(F.count("*"), F.max("rank")).first()
+        if not n:
             break
-        done.append(walks.where(F.col("at") == target))
-        walks = walks.where(F.col("at") != target)
-    if not done:
-        return empty
-    best = reduce(DataFrame.unionByName, done).orderBy("rank").limit(keep)
-    from pyspark.sql import Window
+        waiting = [materialize(open_walks.where(F.col("rank") > F.lit(last).cast(ranks)), "waiting")] if n == at_once else []
+        walks = first
+    return spark.createDataFrame([(k, nodes, edges, len(edges)) for k, (_, nodes, edges) in enumerate(best, 1)], empty.schema)
+
 
-    return best.select(F.row_number().over(Window.orderBy("rank")).alias("path_id"), "node_ids", "edge_ids", F.size("edge_ids").alias("hop_count"))  # at most ``keep`` rows
+def detail(graph: Graph, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the paths with all their columns, path_id and place k on the path; a vertex that isn't a node has only its id."""
+    on = lambda c, df: paths.select("path_id", F.posexplode(c).alias("k", "id")).join(df, "id", "left")
+    return on("node_ids", graph.nodes), on("edge_ids", graph.edges)
 
 
 def trimmed(pairs: DataFrame) -> DataFrame:

@@ -49,9 +49,10 @@ def _subgraph(focus, r: traverse.Reach, fmt: str) -> dict | list:
     if fmt == "files":
         return [x["file_path"] for x in rows(sinks.file_list(r.nodes))]
     nodes = r.nodes.drop("root").orderBy("depth", "id")
+    extent = rows(lookup.extent(nodes))[0]
     if fmt == "compact":
-        return {"focus": focus, "nodes": rows(sinks.compact_nodes(nodes)), "edges": rows(sinks.compact_edges(r.edges))}
-    return {"focus": focus, "nodes": rows(nodes), "edges": rows(r.edges.drop("root"))}
+        return {"focus": focus, **extent, "nodes": rows(sinks.compact_nodes(nodes)), "edges": rows(sinks.compact_edges(r.edges))}
+    return {"focus": focus, **extent, "nodes": rows(nodes), "edges": rows(r.edges.drop("root"))}
 
 
 def impact(g: Graph, a: dict):
@@ -63,15 +64,20 @@ def paths(g: Graph, a: dict):
     s, t = _node(g, a["from_node"]), _node(g, a["to_node"])
     fmt = sinks.check_format(a.get("format", "full"))
     p = simple_paths.find_paths(g, s["id"], t["id"], a.get("max_depth", simple_paths.PATH_DEPTH), a.get("edge_types"), a.get("node_types"))
-    if fmt == "full":
-        return {"from": s["qualified_name"], "to": t["qualified_name"], "paths": rows(p)}
-    at = p.select("path_id", F.posexplode("node_ids").alias("k", "id")).join(g.nodes.select("id", "qualified_name", "file_path"), "id", "left")
+    at, over = simple_paths.detail(g, p)
     if fmt == "files":
         return [x["file_path"] for x in rows(sinks.file_list(at))]
-    names = at.groupBy("path_id").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("qualified_name", "id").alias("name")))).alias("x"))
-    kinds = p.select("path_id", F.posexplode("edge_ids").alias("k", "id")).join(g.edges.select("id", "type"), "id").groupBy("path_id").agg(F.sort_array(F.collect_list(F.struct("k", "type"))).alias("y"))
-    out = p.select("path_id", "hop_count").join(names, "path_id").join(kinds, "path_id").select("path_id", "hop_count", F.transform("x", lambda v: v["name"]).alias("nodes"), F.transform("y", lambda v: v["type"]).alias("edge_types")).orderBy("path_id")
-    return {"from": s["qualified_name"], "to": t["qualified_name"], "paths": rows(out)}
+    out = [{"path_id": x["path_id"], "hop_count": x["hop_count"], "nodes": [], "edges": []} for x in rows(p.orderBy("path_id"))]
+    by = {x["path_id"]: x for x in out}
+    for part, df in (("nodes", at), ("edges", over)):  # at most PATHS paths of max_depth edges
+        for x in rows(df.orderBy("path_id", "k")):
+            by[x.pop("path_id")][part].append({c: v for c, v in x.items() if c != "k"})
+    if fmt == "compact":
+        for x in out:
+            x["nodes"] = [n["qualified_name"] or n["id"] for n in x["nodes"]]
+            x["edge_types"] = [e["type"] for e in x.pop("edges")]
+        return {"from": s["qualified_name"], "to": t["qualified_name"], "path_count": len(out), "paths": out}
+    return {"from": s.asDict(recursive=True), "to": t.asDict(recursive=True), "path_count": len(out), "paths": out}
 
 
 def audit(g: Graph, a: dict):

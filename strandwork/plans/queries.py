@@ -82,6 +82,11 @@ def impact_edges(spark, sf_dir):
     return traverse.impact(fk_graph(spark, sf_dir, stored=True), "region:0", max_depth=4).edges.select("id", "type")
 
 
+@query(_walk_sql("SELECT 'region:0' AS id", 6, "source_id", "target_id") + " SELECT count(*) AS node_count, count(DISTINCT nullif(n.file_path, '')) AS file_count FROM w JOIN nodes n ON n.id = w.id WHERE w.d > 0")
+def impact_extent(spark, sf_dir):
+    return lookup.extent(traverse.impact(fk_graph(spark, sf_dir, stored=True), "region:0").nodes)
+
+
 @query(_walk_sql("SELECT 'supplier:1' AS id", 6, "target_id", "source_id") + " SELECT n.id, n.type, w.d AS depth FROM w JOIN nodes n ON n.id = w.id WHERE w.d > 0")
 def impact_upstream(spark, sf_dir):
     return traverse.impact(fk_graph(spark, sf_dir, stored=True), "supplier:1", direction="upstream").nodes.select("id", "type", "depth")
@@ -118,6 +123,38 @@ def find_paths(spark, sf_dir):
     return p.select("path_id", F.array_join("node_ids", ">").alias("node_ids"), F.array_join("edge_ids", " ").alias("edge_ids"), "hop_count")
 
 
+@query("""WITH RECURSIVE {graph}, pair AS (SELECT source_id, target_id, max(id) AS edge_id, min(id) AS first FROM edges GROUP BY 1, 2),
+back AS (SELECT 'supplier:1' AS id, 0 AS d UNION SELECT pair.source_id, back.d + 1 FROM back JOIN pair ON pair.target_id = back.id WHERE back.d < 8),
+need AS (SELECT id, min(d) AS d FROM back GROUP BY id),
+p AS (SELECT 'customer:1' AS v, ['customer:1'] AS ids, CAST([] AS varchar[]) AS es, CAST([] AS varchar[]) AS rank
+  UNION ALL SELECT e.target_id, list_append(ids, e.target_id), list_append(es, e.edge_id), list_append(rank, e.first) FROM p JOIN pair e ON e.source_id = p.v JOIN need ON need.id = e.target_id
+  WHERE len(es) + 1 + need.d <= 8 AND p.v <> 'supplier:1' AND NOT list_contains(ids, e.target_id)),
+r AS (SELECT CAST(row_number() OVER (ORDER BY rank) AS int) AS path_id, array_to_string(ids, '>') AS node_ids, array_to_string(es, ' ') AS edge_ids, CAST(len(es) AS int) AS hop_count FROM p WHERE v = 'supplier:1')
+SELECT * FROM r WHERE path_id <= 20""")
+def find_paths_deep(spark, sf_dir):
+    """At the default depth of 8."""
+    p = simple_paths.find_paths(fk_graph(spark, sf_dir, stored=True), "customer:1", "supplier:1")
+    return p.select("path_id", F.array_join("node_ids", ">").alias("node_ids"), F.array_join("edge_ids", " ").alias("edge_ids"), "hop_count")
+
+
+def _four_hops(spark, sf_dir):
+    g = fk_graph(spark, sf_dir, stored=True)
+    return simple_paths.detail(g, simple_paths.find_paths(g, "customer:1", "supplier:1", max_depth=4))
+
+
+_PLACES = _PATHS.replace("SELECT * FROM r WHERE path_id <= 20", "") + ", x AS (SELECT path_id, {ids} AS ids FROM r WHERE path_id <= 20), y AS (SELECT path_id, unnest(range(len(ids))) AS i, ids FROM x) SELECT path_id, CAST(i AS int) AS k, t.id, t.type, t.{name} FROM y JOIN {table} t ON t.id = ids[i + 1]"
+
+
+@query(_PLACES.replace("{ids}", "string_split(node_ids, '>')").replace("{table}", "nodes").replace("{name}", "file_path"))
+def path_nodes(spark, sf_dir):
+    return _four_hops(spark, sf_dir)[0].select("path_id", "k", "id", "type", "file_path")
+
+
+@query(_PLACES.replace("{ids}", "string_split(edge_ids, ' ')").replace("{table}", "edges").replace("{name}", "certainty"))
+def path_edges(spark, sf_dir):
+    return _four_hops(spark, sf_dir)[1].select("path_id", "k", "id", "type", "certainty")
+
+
 @query(f"""WITH RECURSIVE s AS ({for_oracle(STEP_SQL)}),
 p AS (SELECT source_id AS start, target_id AS v, CASE WHEN source_id = target_id THEN [source_id] ELSE [source_id, target_id] END AS ids, source_id = target_id AS closed FROM s WHERE source_id <= target_id
   UNION ALL SELECT p.start, s.target_id, CASE WHEN s.target_id = p.start THEN ids ELSE list_append(ids, s.target_id) END, s.target_id = p.start FROM p JOIN s ON s.source_id = p.v
@@ -141,6 +178,11 @@ def search(spark, sf_dir):
     return lookup.search(fk_graph(spark, sf_dir), "Part.Brand#1", node_types=["method"], file_pattern="part/?.py").select("id", "qualified_name", "score")
 
 
+@query("WITH {graph} SELECT id FROM nodes WHERE contains(lower(display_name), 't/1') OR contains(lower(qualified_name), 't/1') OR contains(lower(file_path), 't/1')")
+def focus_search(spark, sf_dir):
+    return lookup.focus_search(fk_graph(spark, sf_dir), "T/1").select("id")
+
+
 @query("WITH {graph} SELECT id, type FROM nodes WHERE type IN ('CLASS', 'ENDPOINT')")
 def nodes_by_type(spark, sf_dir):
     return lookup.nodes_of(fk_graph(spark, sf_dir), ["CLASS", "ENDPOINT"]).select("id", "type")

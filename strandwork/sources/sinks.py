@@ -10,6 +10,7 @@ from strandwork.functions.paths import label
 from strandwork.graph import Graph
 from strandwork.schema import EDGES, NODES, certainty_name
 
+WARNINGS = "code:string, message:string, path:string, certainty:int"
 FORMATS = ("full", "compact", "files")
 
 
@@ -72,11 +73,12 @@ def document(graph: Graph, pretty: bool = True) -> str:
 
 
 def read_document(spark: SparkSession, path: str) -> Graph:
-    """A JSON document as tables; ``pos`` keeps the document's order."""
-    schema = f"nodes array<struct<{_ddl(NODES)}>>, edges array<struct<{_ddl(EDGES)}>>"
+    """A JSON document as tables; ``pos`` keeps the document's order. Warnings and metadata come along where it has them."""
+    schema = f"nodes array<struct<{_ddl(NODES)}>>, edges array<struct<{_ddl(EDGES)}>>, warnings array<struct<{WARNINGS}>>, scan_metadata string"
     d = spark.read.schema(schema).json(path, multiLine=True)
     part = lambda c: d.select(F.posexplode(c).alias("pos", "x")).select("x.*", F.col("pos").cast("long").alias("pos"))
-    return Graph(part("nodes"), part("edges"))
+    about = d.select("scan_metadata").first()  # one small object
+    return Graph(part("nodes"), part("edges"), d.select(F.explode("warnings").alias("x")).select("x.*"), json.loads(about[0]) if about and about[0] else {})
 
 
 def _ddl(schema) -> str:

@@ -55,6 +55,48 @@ def test_paths(g):
     assert simple_paths.find_paths(g, "m:a", "f:c", keep=2).count() == 2
 
 
+def test_paths_in_small_rounds_are_all_paths_in_depth_first_order(spark):
+    """A dense graph at the default depth, walks extended two and seven at a time, against plain recursion."""
+    import random
+
+    dice = random.Random(5)
+    pairs = sorted({(f"v{dice.randrange(9)}", f"v{dice.randrange(9)}") for _ in range(45)})
+    edges = spark.createDataFrame([(f"{dice.random()}", a, b, "CALLS", 3) for a, b in pairs], "id string, source_id string, target_id string, type string, certainty int").cache()
+    graph = Graph(edges.select(F.col("source_id").alias("id")).distinct(), edges)
+    out = {}
+    for r in sorted(edges.collect(), key=lambda r: r.id):
+        out.setdefault(r.source_id, []).append(r.target_id)
+
+    def walk(path):
+        if path[-1] == "v1":
+            yield path
+        elif len(path) <= simple_paths.PATH_DEPTH:
+            for v in out.get(path[-1], []):
+                if v not in path:
+                    yield from walk([*path, v])
+
+    want = list(walk(["v0"]))
+    assert len(want) > 20
+    for keep, at_once in ((20, 40), (len(want) + 1, 300)):
+        got = simple_paths.find_paths(graph, "v0", "v1", keep=keep, at_once=at_once).orderBy("path_id").collect()
+        assert [r.node_ids for r in got] == want[:keep] and all(r.hop_count == len(r.edge_ids) == len(r.node_ids) - 1 for r in got)
+
+
+def test_path_answers_and_document_round_trip(g, spark, tmp_path):
+    full = api.paths(g, {"from_node": "m:a", "to_node": "f:c"})
+    assert full["path_count"] == 3 and full["from"]["id"] == "m:a" and [n["id"] for n in full["paths"][1]["nodes"]] == ["m:a", "m:b", "f:b", "f:c"]
+    assert [e["type"] for e in full["paths"][2]["edges"]] == ["IMPORTS", "IMPORTS", "CONTAINS"]
+    short = api.paths(g, {"from_node": "m:a", "to_node": "f:c", "format": "compact"})
+    assert short["paths"][0]["nodes"] == ["p.main", "p.main::run", "p.util::greet", "p.model::help"] and short["paths"][0]["edge_types"] == ["CONTAINS", "CALLS", "CALLS"]
+    assert api.paths(g, {"from_node": "m:a", "to_node": "f:c", "format": "files"}) == ["p/main.py", "p/model.py", "p/util.py"]
+    warned = Graph(g.nodes, g.edges, spark.createDataFrame([("IO_ERROR", "gone", "p/x.py", 0)], "code string, message string, path string, certainty int"), {"stages": ["scan"]})
+    (tmp_path / "graph.json").write_text(sinks.document(warned))
+    back = api.load(spark, str(tmp_path / "graph.json"))
+    assert back.metadata == {"stages": ["scan"]} and [tuple(r) for r in back.warnings.collect()] == [("IO_ERROR", "gone", "p/x.py", 0)]
+    assert "1 warnings, 1 files" in lookup.summary(back)
+    assert ids(lookup.focus_search(g, "P/MODEL")) == ["f:c", "m:c"] and tuple(lookup.extent(g.nodes).first()) == (9, 3)
+
+
 def test_cycles(spark):
     e = [("a", "b", "IMPORTS"), ("a", "b", "IMPORTS_FROM"), ("b", "c", "IMPORTS"), ("c", "a", "IMPORTS"), ("d", "d", "IMPORTS"), ("c", "x", "IMPORTS"), ("b", "a", "CALLS")]
     edges = spark.createDataFrame([(f"{a}{b}{t}", a, b, t, 3) for a, b, t in e], "id string, source_id string, target_id string, type string, certainty int")

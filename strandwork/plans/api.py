@@ -25,7 +25,7 @@ class NodeNotFound(LookupError):
 
 def load(spark: SparkSession, path: str) -> Graph:
     """A graph folder of Parquet tables, or a JSON document."""
-    return sinks.read_document(spark, path) if path.endswith(".json") else sinks.read_parquet(spark, path)
+    return sinks.read_document(spark, path, about=True) if path.endswith(".json") else sinks.read_parquet(spark, path)
 
 
 def rows(df: DataFrame) -> list[dict]:

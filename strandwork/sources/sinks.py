@@ -72,13 +72,17 @@ def document(graph: Graph, pretty: bool = True) -> str:
     return json.dumps({"nodes": n, "edges": e, "warnings": w, "unresolved": [], "scan_metadata": graph.metadata, "statistics": stats}, sort_keys=True, indent=2 if pretty else None, default=str)
 
 
-def read_document(spark: SparkSession, path: str) -> Graph:
-    """A JSON document as tables; ``pos`` keeps the document's order. Warnings and metadata come along where it has them."""
+def read_document(spark: SparkSession, path: str, about: bool = False) -> Graph:
+    """A JSON document's nodes and edges as tables; ``pos`` keeps the document's order. about: its warnings and scan metadata too."""
     schema = f"nodes array<struct<{_ddl(NODES)}>>, edges array<struct<{_ddl(EDGES)}>>, warnings array<struct<{WARNINGS}>>, scan_metadata string"
     d = spark.read.schema(schema).json(path, multiLine=True)
     part = lambda c: d.select(F.posexplode(c).alias("pos", "x")).select("x.*", F.col("pos").cast("long").alias("pos"))
-    about = d.select("scan_metadata").first()  # one small object
-    return Graph(part("nodes"), part("edges"), d.select(F.explode("warnings").alias("x")).select("x.*"), json.loads(about[0]) if about and about[0] else {})
+    g = Graph(part("nodes"), part("edges"))
+    if about:
+        g.warnings = d.select(F.explode("warnings").alias("x")).select("x.*")
+        told = d.select("scan_metadata").first()  # one small object
+        g.metadata = json.loads(told[0]) if told and told[0] else {}
+    return g
 
 
 def _ddl(schema) -> str:

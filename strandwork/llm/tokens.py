@@ -2,7 +2,8 @@
 
 The library splits a text before its merges run, and a single space or line break between two characters
 that aren't white space is always such a split. So the ids of a text are those of its pieces one after the
-other, and pieces recur: each is encoded by the library once for each worker and kept in a bounded cache.
+other, and pieces recur: their words, without marks behind them, are encoded by the library once for each worker and
+kept in a bounded cache. Splitting and telling pieces apart is done on Arrow columns, so only a group's distinct words are looked up.
 A text with any other run of white space is encoded whole. Steps that lean on what a vocabulary does to letters
 (lowering before the cache, cutting marks off a word, encoding many words as one text) are only taken for plain
 letters, whose normal form and lower case are one letter each wherever they stand.
@@ -13,6 +14,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .kernels import spread
 
@@ -26,6 +29,9 @@ def _plain_letter(c: str) -> bool:
     return c.isalpha() and not UNSAFE.match(c)
 
 
+PLAIN_LETTERS = pa.array([chr(c) for c in range(0x250) if _plain_letter(chr(c))], pa.large_string())
+
+
 class _Numbers(dict):
     """Numbers strings in the order in which they are first asked for; ``new`` holds those since it was last emptied."""
 
@@ -68,67 +74,82 @@ class Encoder:
         self.tails: dict[str, list[int]] = {"": []}
         self.ids, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number for each word): many are encoded as one text where their borders can be told from the ids."""
-        plain = lambda w: w[1:].isalpha() and not UNSAFE.search(w)
-        joined = [k for k, w in enumerate(words) if self.opens is not None or self.closes is not None and plain(w)]
-        alone = sorted({*range(len(words))} - {*joined})
-        out: list = [None] * len(words)
-        many = ["".join(words[k] for k in joined[a : a + 512]) for a in range(0, len(joined), 512)]
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start and number for each word): many are encoded as one text where their borders can be told from the ids."""
+        plain = lambda w: w[1:].isalpha() and (w.isascii() or not UNSAFE.search(w))
+        joined, alone = [], []
+        for k, w in enumerate(words):
+            (joined if self.opens is not None or self.closes is not None and plain(w) else alone).append(k)
+        many = ["".join([words[k] for k in joined[a : a + 512]]) for a in range(0, len(joined), 512)]
         got = self.tokenizer.encode_batch_fast([*many, *(words[k] for k in alone)], add_special_tokens=False)
-        for k, e in zip(alone, got[len(many) :]):
-            out[k] = np.array(e.ids, np.uint32)
+        ids = [np.array(e.ids, np.uint32) for e in got]
+        n = np.zeros(len(words), np.int64)
+        order = joined + alone
         if many:
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in got[: len(many)]])
-            edge = np.append(np.flatnonzero(self.opens[ids]), len(ids)) if self.opens is not None else np.append(0, np.flatnonzero(self.closes[ids]) + 1)
+            own = np.concatenate(ids[: len(many)])
+            edge = np.append(np.flatnonzero(self.opens[own]), len(own)) if self.opens is not None else np.append(0, np.flatnonzero(self.closes[own]) + 1)
             if len(edge) == len(joined) + 1:
-                if not alone:
-                    return ids, np.diff(edge)
-                for k, x in zip(joined, np.split(ids, edge[1:-1])):
-                    out[k] = x
+                n[joined] = np.diff(edge)
             else:  # this vocabulary's borders don't tell words: each on its own
-                for k, e in zip(joined, self.tokenizer.encode_batch_fast([words[k] for k in joined], add_special_tokens=False)):
-                    out[k] = np.array(e.ids, np.uint32)
-        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+                each = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([words[k] for k in joined], add_special_tokens=False)]
+                ids[: len(many)] = each
+                n[joined] = [len(x) for x in each]
+        n[alone] = [len(x) for x in ids[len(ids) - len(alone) :]]
+        start = np.zeros(len(words), np.int64)
+        start[order] = np.cumsum(n[order]) - n[order]
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), start, n
+
+    def _learn(self, words: list[str]) -> None:
+        """Add words; size -1 marks one that doesn't stand between single spaces or line breaks."""
+        size, start = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
+        good = []
+        for k, w in enumerate(words):
+            inner = w.strip()
+            if inner and (inner == w or w[0] == "\n" and len(inner) == len(w) - 1):
+                good.append(k)
+        if good:
+            ids, begin, n = self._ids_of([words[k] if words[k][0] == "\n" else " " + words[k] for k in good])
+            size[good], start[good] = n, len(self.ids) + begin
+            self.ids = np.concatenate([self.ids, ids])
+        self.size, self.start = np.concatenate([self.size, size]), np.concatenate([self.start, start])
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Add pieces; size -1 marks one that doesn't stand between single spaces or line breaks.
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number for each piece, -1 as in ``_learn``) of distinct pieces.
 
         Marks after a plain letter are split from it in any case, so a piece is its word and its tail of marks.
         """
-        good, words, ends = [], {}, []
-        for k, p in enumerate(pieces):
-            inner = p.strip()
-            if inner and (inner == p or p[0] == "\n" and len(inner) == len(p) - 1):
-                word = p.rstrip(MARKS)
-                if word and _plain_letter(word[-1]):
-                    good.append(k)
-                    ends.append((words.setdefault(word, len(words)), p[len(word) :]))
-                else:
-                    good.append(k)
-                    ends.append((words.setdefault(p, len(words)), ""))
-        size = np.full(len(pieces), -1, np.int64)
-        start = np.zeros(len(pieces), np.int64)
-        if good:
-            list_ = [w if w[0] == "\n" else " " + w for w in words]
-            ids, n = self._ids_of(list_)
-            new = list(dict.fromkeys(t for _, t in ends if t not in self.tails))
-            for t, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.tails[t] = e.ids
-            word, tail = np.array([w for w, _ in ends], np.int64), [self.tails[t] for _, t in ends]
-            more = np.array([len(t) for t in tail], np.int64)
-            total = n[word] + more
-            begin = np.cumsum(total) - total
-            out = np.empty(int(total.sum()), np.uint32)
-            out[spread(begin, n[word])] = ids[spread((np.cumsum(n) - n)[word], n[word])]
-            out[spread(begin + n[word], more)] = np.array([i for t in tail for i in t], np.uint32)
-            size[good], start[good] = total, len(self.ids) + begin
-            self.ids = np.concatenate([self.ids, out])
-        self.size, self.start = np.concatenate([self.size, size]), np.concatenate([self.start, start])
+        word = pc.utf8_rtrim(pieces, MARKS)
+        word = pc.if_else(pc.is_in(pc.utf8_slice_codeunits(word, -1), value_set=PLAIN_LETTERS), word, pieces)
+        distinct = word.dictionary_encode()
+        names = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
+        of = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
+        of = of[distinct.indices.to_numpy()]
+        size, start = self.size[of], self.start[of]
+        odd = size < 0
+        size = np.maximum(size, 0)
+        marks = pc.subtract(pc.binary_length(pieces), pc.binary_length(word)).to_numpy()
+        cut = np.flatnonzero((marks > 0) & ~odd)
+        tails = [p[-k:] for p, k in zip(pieces.take(pa.array(cut)).to_numpy(zero_copy_only=False).tolist(), marks[cut].tolist())]
+        new = list(dict.fromkeys(t for t in tails if t not in self.tails))
+        for t, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.tails[t] = e.ids
+        more = np.zeros(len(pieces), np.int64)
+        tail = [self.tails[t] for t in tails]
+        more[cut] = [len(t) for t in tail]
+        total = size + more
+        begin = np.cumsum(total) - total
+        ids = np.empty(int(total.sum()), np.uint32)
+        ids[spread(begin, size)] = self.ids[spread(start, size)]
+        ids[spread((begin + size)[cut], more[cut])] = np.array([i for t in tail for i in t], np.uint32)
+        total[odd] = -1
+        return ids, total
 
     def _lowered(self, t: str) -> str:
         """The text in lower case where the vocabulary does just that, so that fewer pieces are kept; else as it is."""
-        if UNSAFE.search(t):
+        if not t.isascii() and UNSAFE.search(t):
             return t
         low = t.lower()
         return t if any(x in low for x in self.special) else low
@@ -138,26 +159,28 @@ class Encoder:
             self.clear()
         if self.lower:
             texts = [self._lowered(t) for t in texts]
-        known = self.known
-        split = [t.replace("\n", " \n").split(" ") for t in texts]
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        edge = split.offsets.to_numpy().astype(np.int64)
+        every = split.flatten()
         # a first piece follows no space: it goes to the library as it is, with no cache
-        heads = [s[0] for s in split]
-        pieces = [p for s in split for p in s[1:]]
-        at = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
-        if known.new:
-            self._learn(known.new)
-            known.new = []
-        counts = np.array([len(s) - 1 for s in split], np.int64)
-        size, start = self.size[at], self.start[at]
-        edge = np.concatenate([[0], np.cumsum(counts)])
+        inner = np.ones(len(every), bool)
+        inner[edge[:-1]] = False
+        heads = every.take(pa.array(edge[:-1])).to_pylist()
+        pieces = every.filter(pa.array(inner)).dictionary_encode()
+        edge -= np.arange(len(edge))
+        counts = np.diff(edge)
+        ids, size = self._pieces(pieces.dictionary)
+        start = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
+        at = pieces.indices.to_numpy()
+        size, start = size[at], start[at]
         odd = np.flatnonzero(size < 0)
         plain = np.ones(len(texts), bool)
         plain[np.searchsorted(edge, odd, "right") - 1] = False
         for i, h in enumerate(heads):
-            if plain[i] and h and (h[0].isspace() or h[-1].isspace()) or not h and len(split[i]) > 1:
+            if plain[i] and h and (h[0].isspace() or h[-1].isspace()) or not h and counts[i]:
                 plain[i] = False
         size = np.maximum(size, 0)
-        flat = self.ids[spread(start, size)]
+        flat = ids[spread(start, size)]
         cut = np.concatenate([[0], np.cumsum(size)])[edge]
         first = self.tokenizer.encode_batch_fast([h if plain[i] else texts[i] for i, h in enumerate(heads)], add_special_tokens=False)
         parts, n = [], []

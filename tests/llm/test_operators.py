@@ -385,6 +385,24 @@ def test_encoder_is_the_library_on_random_texts(name):
             assert flat[a : a + n].tolist() == w.ids, t
 
 
+def test_a_word_goes_to_the_library_once():
+    """A known word isn't encoded again for other marks behind it, in whatever text it comes."""
+    e, asked = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json")), []
+    library = e.tokenizer
+
+    class Asked:
+        def encode_batch_fast(self, some, **more):
+            asked.extend(some)
+            return library.encode_batch_fast(some, **more)
+
+    e.tokenizer = Asked()
+    e.encode(["a foo bar\nbaz"])
+    for t in ["b foo, bar!\nbaz...", "c foo. bar\nbaz,"]:
+        asked.clear()
+        assert e.encode([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
+        assert not [x for x in asked if len(x) > 1 and x.strip(tokens.MARKS)]
+
+
 def test_packing_of_letters_with_two_lower_case_characters(spark):
     plain = tokens.Encoder(tokens.vocabulary("word_bpe_49k.json")).tokenizer
     rows = [(k, t) for k, t in enumerate(["a İstanbul b", "😀 1İ,", "> <İ&", "x ΑΣ. ΑΣ"])]

@@ -385,22 +385,37 @@ def test_encoder_is_the_library_on_random_texts(name):
             assert flat[a : a + n].tolist() == w.ids, t
 
 
-def test_a_word_goes_to_the_library_once():
-    """A known word isn't encoded again for other marks behind it, in whatever text it comes."""
-    e, asked = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json")), []
-    library = e.tokenizer
+class Asked:
+    """The library, which notes what it is asked to encode."""
+
+    def __init__(self, library) -> None:
+        self.library, self.asked = library, []
 
-    class Asked:
-        def encode_batch_fast(self, some, **more):
-            asked.extend(some)
-            return library.encode_batch_fast(some, **more)
+    def encode_batch_fast(self, some, **more):
+        self.asked += some
+        return self.library.encode_batch_fast(some, **more)
 
-    e.tokenizer = Asked()
+
+def test_a_word_goes_to_the_library_once():
+    """A known word isn't encoded again for other marks behind it, in whatever text it comes."""
+    e = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json"))
+    library, e.tokenizer = e.tokenizer, Asked(e.tokenizer)
     e.encode(["a foo bar\nbaz"])
     for t in ["b foo, bar!\nbaz...", "c foo. bar\nbaz,"]:
-        asked.clear()
+        e.tokenizer.asked.clear()
+        assert e.encode([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
+        assert not [x for x in e.tokenizer.asked if len(x) > 1 and x.strip(tokens.MARKS)]
+
+
+def test_words_of_packing_go_to_the_library_once():
+    """A vocabulary that lowers letters gets a word once for all its capitals and marks, beside words that are encoded alone."""
+    e = tokens.Encoder(tokens.vocabulary("word_bpe_49k.json"))
+    library, e.tokenizer = e.tokenizer, Asked(e.tokenizer)
+    e.encode(["a foo don't BAR\n12ab über"])
+    for t in ["b Foo, bar!\n12AB... Über don't.", "c BAR. fOO\n12ab, DON'T, über|"]:
+        e.tokenizer.asked.clear()
         assert e.encode([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
-        assert not [x for x in asked if len(x) > 1 and x.strip(tokens.MARKS)]
+        assert not [x for x in e.tokenizer.asked if len(x) > 1 and x.strip(tokens.MARKS)]
 
 
 def test_packing_of_letters_with_two_lower_case_characters(spark):
